@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, quality, token_counts, token_files, url_filter
+from . import bpe, html_extract, near_dedup, quality, token_counts, token_files, url_filter
 from .common import ship, table
 
 #: The rules of the URL query, as (host, path, action).
@@ -35,6 +35,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n_words=3, percent=85)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     end = 50256
@@ -56,7 +61,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_token_files, op3_url_filter, op8_token_counts, op9_quality, op10_html)
+    f.__name__: f for f in (op1_byte_bpe, op2_token_files, op3_url_filter, op7_near_dedup, op8_token_counts, op9_quality, op10_html)
 }
 
 _URL_PARTS = """
