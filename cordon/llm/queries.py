@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, near_dedup, quality, token_counts, token_files, url_filter
+from . import ann, bpe, decontaminate, html_extract, license_scan, near_dedup, quality, token_counts, token_files, url_filter
 from .common import ship, table
 
 #: The rules of the URL query, as (host, path, action).
@@ -35,6 +35,20 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n_words=3, percent=85)
@@ -61,8 +75,12 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_token_files, op3_url_filter, op7_near_dedup, op8_token_counts, op9_quality, op10_html)
-}
+    f.__name__: f
+    for f in (
+        op1_byte_bpe, op2_token_files, op3_url_filter, op4_license_scan, op5_decontaminate,
+        op6_ann, op7_near_dedup, op8_token_counts, op9_quality, op10_html,
+    )
+}
 
 _URL_PARTS = """
   SELECT page_id,

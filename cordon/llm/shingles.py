@@ -32,7 +32,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _group(raw: list[bytes], n: int) -> list[np.ndarray]:
+def ordered(raw: list[bytes], n: int) -> list[np.ndarray]:
+    """Each lower-cased text's shingle hashes, one for each position."""
     b = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     space = (b == 32) | ((b >= 9) & (b <= 13))
     edge = np.diff(np.append(True, space).astype(np.int8))
@@ -54,7 +55,7 @@ def _group(raw: list[bytes], n: int) -> list[np.ndarray]:
         out = []
         for x, y in zip(first.tolist(), last.tolist(), strict=True):
             if y - x >= n:
-                out.append(np.unique(shingle[x : y - n + 1]))
+                out.append(shingle[x : y - n + 1])
             elif y > x:
                 h = np.zeros(1, np.uint64)
                 for w in words[x:y]:
@@ -65,20 +66,25 @@ def _group(raw: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
-    """Each text's sorted distinct shingle hashes.
-
-    A-Z are lower-cased; words are runs of other characters than U+0020 and U+0009 to U+000D. A text of
-    fewer than ``n`` words has its whole sequence as one shingle; one without words, or null, has none.
-    """
+def in_order(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+    """Each text's shingle hashes by position; see ``shingle_sets``."""
     group: list[bytes] = []
     size = 0
     for t in texts:
         b = (t or "").encode("utf-8", "surrogatepass").lower()
         if group and size + len(b) > GROUP_BYTES:
-            yield from _group(group, n)
+            yield from ordered(group, n)
             group, size = [], 0
         group.append(b)
         size += len(b) + 1
     if group:
-        yield from _group(group, n)
+        yield from ordered(group, n)
+
+
+def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+    """Each text's sorted distinct shingle hashes.
+
+    A-Z are lower-cased; words are runs of other characters than U+0020 and U+0009 to U+000D. A text of
+    fewer than ``n`` words has its whole sequence as one shingle; one without words, or null, has none.
+    """
+    return map(np.unique, in_order(texts, n))
