@@ -1,4 +1,348 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the derived views, and their SQL for DuckDB in another formulation."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import ranges, semver
+from ..functions import text as T
+from ..operators import findings as FI
+from ..operators import graph, matching, modules
+from ..schema import affected_rows
+from ..sinks import documents
+from ..sources import advisories
+from .views import Views, duck
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+NOW = "2024-06-01"
+
+
+def query(sql: str):
+    """Register a function of the views under its name, with the text of its oracle."""
+
+    def register(f: Callable[[Views], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        ORACLE[f.__name__] = duck(sql)
+        return f
+
+    return register
+
+
+#: A module's version against the fix and the second introduction of an entry, in integers.
+_HIT = "(has_fix = 0 OR (a, b, c, rel) < (fa, fb, 0, 1) OR (again = 1 AND (a, b, c, rel) >= (ia, 0, 0, 1)))"
+_FIX = "CASE WHEN has_fix = 1 AND again = 0 THEN CAST(fa AS STRING) || '.' || CAST(fb AS STRING) || '.0' ELSE '' END"
+_MATCH = f"""(SELECT m.path, m.version, o.id AS osv, m.p, o.s, m.a, m.b, m.c, m.rel, f.has_fix, f.fa, f.fb
+  FROM {{u_module}} m JOIN {{u_fix}} f ON m.p = f.p JOIN {{u_osv}} o ON o.s = f.s WHERE m.ok = 1 AND o.withdrawn = 0 AND {_HIT})"""
+
+
+def _affecting(v: Views) -> DataFrame:
+    return matching.affecting(v.modules(), affected_rows(v.entries()), F.lit(NOW).cast("timestamp"))
+
+
+@query(f"""
+SELECT m.path, CASE WHEN m.ok = 1 THEN m.version ELSE '' END AS version, o.id
+FROM {{u_module}} m JOIN {{u_fix}} f ON m.p = f.p JOIN {{u_osv}} o ON o.s = f.s WHERE m.p % 3 = 0 AND (m.ok = 0 OR {_HIT})""")
+def q_by_modules(v: Views) -> DataFrame:
+    entries = v.entries()
+    requests = v["u_module"].where("p % 3 = 0").select(F.col("p").alias("ordinal"), "path", F.when(F.col("ok") == 1, F.col("version")).otherwise("").alias("version"))
+    return advisories.by_modules(requests, advisories.build_index(entries), entries).select("path", "version", "id")
+
+
+@query(f"SELECT path, version, osv FROM {_MATCH}")
+def q_affecting(v: Views) -> DataFrame:
+    return _affecting(v).select("path", "version", "osv").distinct()
+
+
+@query(f"SELECT m.path, m.version, o.id AS osv FROM {{u_module}} m JOIN {{u_fix}} f ON m.p = f.p JOIN {{u_osv}} o ON o.s = f.s WHERE m.ok = 1 AND {_HIT}")
+def q_affects_interval(v: Views) -> DataFrame:
+    return matching.affecting_intervals(v.modules(), matching.intervals(affected_rows(v.entries())))
+
+
+@query("""
+SELECT x.p, CASE WHEN x.ok = 0 THEN y.ok = 1 WHEN y.ok = 0 THEN false ELSE (x.a, x.b, x.c, x.rel, x.rc) < (y.a, y.b, y.c, y.rel, y.rc) END AS is_less
+FROM {u_module} x JOIN {u_module} y ON y.p = x.p + 20""")
+def q_semver_order(v: Views) -> DataFrame:
+    m = v["u_module"].select("p", semver.key(F.col("version")).alias("k"))
+    n = m.select((F.col("p") - 20).alias("p"), F.col("k").alias("l"))
+    return m.join(n, "p").select("p", (F.col("k") < F.col("l")).alias("is_less"))
+
+
+@query(f"SELECT m.path, o.id, {_FIX} AS fixed FROM {{u_module}} m JOIN {{u_fix}} f ON m.p = f.p JOIN {{u_osv}} o ON o.s = f.s")
+def q_nonsuperseded_fix(v: Views) -> DataFrame:
+    return affected_rows(v.entries()).select(F.col("module").alias("path"), F.col("osv").alias("id"), ranges.latest_fix(F.col("ranges")).alias("fixed"))
+
+
+@query(f"""
+SELECT path, osv, CASE WHEN has_fix = 1 AND (a, b, c, rel) < (fa, fb, 0, 1) THEN 'v' || CAST(fa AS STRING) || '.' || CAST(fb AS STRING) || '.0' ELSE '' END AS fixed_version
+FROM {_MATCH}""")
+def q_fixed_version(v: Views) -> DataFrame:
+    return matching.with_fixed(_affecting(v), affected_rows(v.entries())).select("path", "osv", "fixed_version").distinct()
+
+
+@query("""
+SELECT o.id AS osv, m.path AS module, CASE WHEN m.p % 9 = 0 THEN 0 ELSE 1 END AS n_packages
+FROM {u_affected} f JOIN {u_module} m ON m.p = f.p JOIN {u_osv} o ON o.s = f.s WHERE m.p % 9 = 0 OR (m.p % 3 <> 1 AND m.p % 5 <> 1)""")
+def q_platform_filter(v: Views) -> DataFrame:
+    return matching.pruned(affected_rows(v.entries()), "linux", "amd64").select("osv", "module", F.size("imports").alias("n_packages"))
+
+
+@query("SELECT id FROM {u_osv} o WHERE withdrawn = 0 AND s IN (SELECT s FROM {u_affected})")
+def q_withdrawn(v: Views) -> DataFrame:
+    return v.entries().where(matching.current(F.col("withdrawn"), F.lit(NOW).cast("timestamp"))).select("id")
+
+
+_TARGET = "CASE WHEN p % 2 = 0 THEN path ELSE path || '/sub' END"
+
+
+@query(f"""
+SELECT DISTINCT x.path, x.path || e.tail AS package, x.osv FROM {_MATCH} x, (VALUES (''), ('/sub'), ('/other')) e(tail)
+WHERE x.p % 9 = 0 OR x.path || e.tail = {_TARGET.replace("path", "x.path").replace("p %", "x.p %")}""")
+def q_package_semi(v: Views) -> DataFrame:
+    packages = v["u_module"].select("path", F.explode(F.array(*[F.concat("path", F.lit(t)) for t in ("", "/sub", "/other")])).alias("package"))
+    return matching.for_packages(packages, _affecting(v))
+
+
+_PROGRAM = """(SELECT DISTINCT p, symbol FROM {u_symbol})"""
+
+
+@query(f"""
+SELECT DISTINCT x.path, x.path || '/sub' AS package, y.symbol, x.osv
+FROM {_MATCH} x JOIN {_PROGRAM} y ON x.p = y.p LEFT JOIN {{u_symbol}} z ON z.s = x.s AND z.p = x.p AND z.symbol = y.symbol
+WHERE x.p % 9 = 0 OR (x.p % 2 = 1 AND (x.p % 4 = 0 OR z.symbol IS NOT NULL))""")
+def q_symbol_semi(v: Views) -> DataFrame:
+    symbols = v["u_symbol"].select("p", "symbol").distinct().join(v["u_module"].select("p", "path"), "p").select("path", F.concat("path", F.lit("/sub")).alias("package"), "symbol")
+    return matching.for_symbols(symbols, _affecting(v))
+
+
+@query("""
+SELECT k.package, coalesce(max(m.path) FILTER (WHERE starts_with(k.package || '/', m.path || '/')), 'unknown-module') AS module,
+  coalesce(arg_max(m.path, length(m.path)), 'unknown-module') AS raw_module
+FROM (SELECT path || '/a/b' AS package FROM {u_module} WHERE p % 5 = 0 UNION SELECT 'other.org/x' || CAST(p AS STRING) FROM {u_module} WHERE p % 50 = 0
+      UNION SELECT path || '0' FROM {u_module} WHERE p % 10 = 1) k
+LEFT JOIN (SELECT path FROM {u_module} WHERE p % 2 = 0 OR p % 5 = 0) m ON starts_with(k.package, m.path) GROUP BY k.package""")
+def q_longest_prefix(v: Views) -> DataFrame:
+    packages = v.sql("""
+      SELECT path || '/a/b' AS package FROM {u_module} WHERE p % 5 = 0 UNION SELECT 'other.org/x' || CAST(p AS STRING) FROM {u_module} WHERE p % 50 = 0
+      UNION SELECT path || '0' FROM {u_module} WHERE p % 10 = 1""")
+    known = v["u_module"].where("p % 2 = 0 OR p % 5 = 0").select("path")
+    raw = modules.resolve(packages, known, raw_prefix=True).withColumnRenamed("module", "raw_module")
+    return modules.resolve(packages, known).join(raw, "package")
+
+
+_FORWARD = """r AS (SELECT p AS node, 0 AS depth FROM {u_module} WHERE p < 20
+  UNION SELECT e.callee, r.depth + 1 FROM r JOIN {u_call} e ON e.caller = r.node WHERE r.depth < 60)"""
+
+
+def _starts(v: Views) -> DataFrame:
+    return v["u_module"].where("p < 20").select(F.col("p").alias("node"))
+
+
+@query(f"{{recursive}}WITH {_FORWARD} SELECT node, min(depth) AS depth FROM r GROUP BY node")
+def q_import_reach(v: Views) -> DataFrame:
+    return graph.reach(v["u_call"], _starts(v), src="caller", dst="callee")
+
+
+@query(f"{{recursive}}WITH {_FORWARD} SELECT DISTINCT node FROM r WHERE node >= 20")
+def q_dep_packages(v: Views) -> DataFrame:
+    return graph.dependencies(v["u_call"].toDF("src", "dst"), _starts(v)).select("node")
+
+
+@query("""{recursive}WITH r AS (SELECT p AS node FROM {u_module} WHERE p < 20
+  UNION SELECT e.dst FROM r JOIN (SELECT caller AS src, callee AS dst FROM {u_call} UNION SELECT p, p + 60 FROM {u_module} WHERE p % 40 = 1) e ON e.src = r.node)
+SELECT node FROM r""")
+def q_call_slice_fwd(v: Views) -> DataFrame:
+    refs = v["u_module"].where("p % 40 = 1").select(F.col("p").alias("src"), (F.col("p") + 60).alias("dst"))
+    return graph.forward_slice(v["u_call"], _starts(v), refs).select("node")
+
+
+_SINKS = "SELECT p AS node FROM {u_module} WHERE p % 14 = 7"
+_BACK = f"b AS ({_SINKS} UNION SELECT e.caller FROM b JOIN {{u_call}} e ON e.callee = b.node)"
+
+
+@query(f"{{recursive}}WITH {_BACK} SELECT node FROM b")
+def q_call_slice_bwd(v: Views) -> DataFrame:
+    return graph.backward_slice(v["u_call"], v.sql(_SINKS)).select("node")
+
+
+_ENTRIES = "SELECT p AS node FROM {u_module} WHERE p % 3 = 0"
+
+
+@query(f"""{{recursive}}WITH f AS ({_ENTRIES} UNION SELECT e.callee FROM f JOIN {{u_call}} e ON e.caller = f.node)
+SELECT node FROM f WHERE node % 14 = 7""")
+def q_called_vulns(v: Views) -> DataFrame:
+    return graph.called_sinks(v["u_call"], v.sql(_ENTRIES), v.sql(_SINKS))[1]
+
+
+@query("""{recursive}WITH r AS (SELECT p AS vuln, p AS node, 0 AS depth FROM {u_module} WHERE p % 14 = 7
+  UNION SELECT r.vuln, e.caller, r.depth + 1 FROM r JOIN {u_call} e ON e.callee = r.node WHERE e.caller <> r.vuln AND r.depth < 40)
+SELECT vuln, min(depth) + 1 AS length FROM r WHERE depth > 0 AND node % 3 = 0 GROUP BY vuln""")
+def q_witness_depth(v: Views) -> DataFrame:
+    sinks = v.sql(_SINKS)
+    vulns = sinks.select(F.col("node").alias("vuln"), F.col("node").cast("string").alias("osv"), F.lit("k").alias("package"), "node")
+    sites = graph.best_call_sites(v["u_site"].withColumnRenamed("col", "column"))
+    return graph.representative_stacks(vulns, sites, v.sql(_ENTRIES)).select("vuln", F.size("path").alias("length"))
+
+
+@query("""
+SELECT caller, callee, line, "column", file, resolved FROM (SELECT caller, callee, line, col AS "column", file, resolved,
+  row_number() OVER (PARTITION BY caller, callee ORDER BY line, col, file, resolved DESC) AS k FROM {u_site}) WHERE k = 1""")
+def q_best_callsite(v: Views) -> DataFrame:
+    return graph.best_call_sites(v["u_site"].withColumnRenamed("col", "column"))
+
+
+_SYMBOLS = "(SELECT o.id AS osv, m.path, CASE WHEN m.p % 2 = 0 THEN m.path ELSE m.path || '/sub' END AS package, y.symbol, m.p FROM {u_symbol} y JOIN {u_module} m ON m.p = y.p JOIN {u_osv} o ON o.s = y.s)"
+
+
+@query(f"""
+SELECT osv, path, package, symbol FROM (SELECT *, max(CASE WHEN symbol LIKE 'F%' OR symbol LIKE 'T.%' THEN 1 ELSE 0 END) OVER (PARTITION BY osv, path, package) AS any_exported
+  FROM {_SYMBOLS}) WHERE any_exported = 0 OR symbol LIKE 'F%' OR symbol LIKE 'T.%'""")
+def q_unique_symbols(v: Views) -> DataFrame:
+    return matching.unique_symbols(v.sql(f"SELECT osv, path, package, symbol FROM {_SYMBOLS}"))
+
+
+@query(f"""
+SELECT DISTINCT x.path, x.osv, {_TARGET.replace("path", "x.path").replace("p %", "x.p %")} AS package,
+  CASE WHEN x.p % 4 = 0 THEN {_TARGET.replace("path", "x.path").replace("p %", "x.p %")} || '/*' ELSE z.symbol END AS symbol
+FROM {_MATCH} x JOIN {{u_symbol}} z ON z.s = x.s AND z.p = x.p WHERE x.p % 9 <> 0""")
+def q_known_symbols(v: Views) -> DataFrame:
+    return matching.known_symbols(_affecting(v))
+
+
+@query("SELECT n AS ordinal, osv, level FROM (SELECT *, max(level) OVER (PARTITION BY osv) AS best FROM {u_finding}) WHERE level = best")
+def q_most_specific(v: Views) -> DataFrame:
+    return FI.most_specific(v.findings()).select("ordinal", "osv", "level")
+
+
+@query("""
+WITH e AS (SELECT osv, max(level) AS level, arg_min(module, n) AS module, max(module = 'stdlib') AS std FROM {u_finding} GROUP BY osv)
+SELECT count(*) FILTER (WHERE level = 3) AS called, count(*) FILTER (WHERE level = 2) AS imported, count(*) FILTER (WHERE level = 1) AS required,
+  count(DISTINCT module) FILTER (WHERE level = 3 AND NOT std) AS modules_called, coalesce(bool_or(level = 3 AND std), false) AS stdlib_called FROM e""")
+def q_summary(v: Views) -> DataFrame:
+    return FI.summary(v.findings())
+
+
+@query("""
+WITH x AS (SELECT f.s, f.p, CASE WHEN p % 9 = 0 THEN NULL WHEN p % 3 = 0 THEN 'linux' WHEN p % 3 = 1 THEN 'windows' END AS os,
+    unnest(CASE WHEN p % 9 = 0 THEN [NULL] WHEN p % 5 = 0 THEN ['amd64', 'arm64'] WHEN p % 5 = 1 THEN ['386'] ELSE [NULL] END) AS arch FROM {u_affected} f),
+y AS (SELECT DISTINCT s, concat_ws('/', os, arch) AS t FROM x WHERE os IS NOT NULL OR arch IS NOT NULL)
+SELECT o.id, coalesce((SELECT string_agg(t, ', ' ORDER BY t) FROM y WHERE y.s = o.s), '') AS platforms FROM {u_osv} o WHERE o.s IN (SELECT s FROM {u_affected})""")
+def q_platforms(v: Views) -> DataFrame:
+    return v.entries().select("id", F.array_join(T.platforms(F.col("affected")), ", ").alias("platforms"))
+
+
+@query(f"""
+SELECT m.path, string_agg(o.id || '@' || {_FIX}, ' ' ORDER BY o.id) AS vulns
+FROM {{u_module}} m JOIN {{u_fix}} f ON m.p = f.p JOIN {{u_osv}} o ON o.s = f.s GROUP BY m.path""")
+def q_index_build(v: Views) -> DataFrame:
+    return advisories.build_index(v.entries()).select("path", F.array_join(F.transform("vulns", lambda x: F.concat(x["id"], F.lit("@"), x["fixed"])), " ").alias("vulns"))
+
+
+@query("""
+WITH m AS (SELECT path, version, p FROM {u_module} WHERE p <= 60)
+SELECT 'go1.21.0' AS go_version, (SELECT string_agg(path || '@' || version, ' ' ORDER BY later, path) FROM (SELECT p % 30 <> 0 AS later,
+    CASE WHEN p % 37 = 0 THEN path || '/r' ELSE path END AS path, version FROM m UNION ALL SELECT true, 'stdlib', 'v1.21.0')) AS modules,
+  (SELECT string_agg(path || '/cmd', ' ' ORDER BY path || '/cmd') FROM m WHERE p % 30 = 0) AS roots""")
+def q_sbom(v: Views) -> DataFrame:
+    own = v["u_module"].where("p <= 60")
+    r = F.when(F.col("p") % 37 == 0, F.struct(F.concat("path", F.lit("/r")).alias("path"), F.col("version").alias("version")))
+    rows = own.select("path", "version", r.alias("replace"))
+    std = v.spark.sql("SELECT 'stdlib' AS path, 'v1.21.0' AS version, CAST(NULL AS struct<path: string, version: string>) AS replace")
+    roots = own.where("p % 30 = 0").select(F.concat("path", F.lit("/cmd")).alias("package"), F.col("path").alias("module"))
+    bill = modules.bill_of_materials(rows.unionByName(std), roots)
+    named = F.transform("modules", lambda m: F.concat(m["path"], F.lit("@"), m["version"]))
+    return bill.select("go_version", F.array_join(named, " ").alias("modules"), F.array_join("roots", " ").alias("roots"))
+
+
+@query("""
+SELECT osv, CASE max(level) WHEN 3 THEN 'error' WHEN 2 THEN 'warning' ELSE 'note' END AS level FROM {u_finding} GROUP BY osv""")
+def q_sarif_level(v: Views) -> DataFrame:
+    return documents.sarif_results(v.findings(), "symbol").select(F.col("ruleId").alias("osv"), "level")
+
+
+@query("""
+WITH t AS (SELECT osv, max(level) AS level FROM {u_finding} GROUP BY osv),
+e AS (SELECT t.osv, t.level, list_sort(list(DISTINCT CASE WHEN t.level = 1 THEN f.module ELSE f.package END)) AS xs FROM t JOIN {u_finding} f ON f.osv = t.osv AND f.level = t.level GROUP BY ALL),
+l AS (SELECT *, CASE WHEN len(xs) = 1 THEN xs[1] WHEN len(xs) = 2 THEN xs[1] || ' and ' || xs[2]
+  ELSE array_to_string(xs[1:len(xs) - 1], ', ') || ', and ' || xs[len(xs)] END AS said, CASE WHEN len(xs) = 1 THEN '' ELSE 's' END AS many FROM e)
+SELECT osv, CASE level WHEN 3 THEN 'Your code calls vulnerable functions in ' || len(xs) || ' package' || many || ' (' || said || ').'
+  WHEN 2 THEN 'Your code imports ' || len(xs) || ' vulnerable package' || many || ' (' || said || '), but doesn’t appear to call any of the vulnerable symbols.'
+  ELSE 'Your code depends on ' || len(xs) || ' vulnerable module' || many || ' (' || said || '), but doesn''t appear to call any of the vulnerable symbols.' END AS message FROM l""")
+def q_sarif_message(v: Views) -> DataFrame:
+    return documents.sarif_results(v.findings(), "symbol").select(F.col("ruleId").alias("osv"), F.col("message.text").alias("message"))
+
+
+@query("""
+SELECT osv, CASE WHEN max(level) = 3 THEN 'affected' ELSE 'not_affected' END AS status,
+  CASE max(level) WHEN 3 THEN '' WHEN 2 THEN 'vulnerable_code_not_in_execute_path' ELSE 'vulnerable_code_not_present' END AS justification FROM {u_finding} GROUP BY osv""")
+def q_vex_status(v: Views) -> DataFrame:
+    s = documents.vex_statements(v.entries(), v.findings(), "symbol")
+    return s.select(F.col("id").alias("osv"), "status", F.coalesce("justification", F.lit("")).alias("justification"))
+
+
+@query("""
+SELECT path, 'pkg:golang/' || replace(path, '/', '%2F') || CASE WHEN version = '' THEN '' ELSE '@' || version END AS purl FROM {u_module}""")
+def q_purl(v: Views) -> DataFrame:
+    return v["u_module"].select("path", T.purl(F.col("path"), F.col("version")).alias("purl"))
+
+
+_TRACE = "(SELECT n, [x % 3 for x in [n, n // 3, n // 9, n // 27]] AS m FROM (SELECT n FROM {u_finding}))"
+
+
+@query(f"""
+WITH t AS (SELECT n, m, list_position(m, m[4]) - 1 AS f FROM {_TRACE}), u AS (SELECT n, m, CASE WHEN f = 0 THEN 3 ELSE f END AS x FROM t)
+SELECT n AS ordinal, 'f0' || CASE WHEN x > 2 THEN ' f' || CAST(x - 2 AS STRING) ELSE '' END || CASE WHEN x > 1 THEN ' f' || CAST(x - 1 AS STRING) ELSE '' END
+  || CASE WHEN x > 0 THEN ' f' || CAST(x AS STRING) ELSE '' END AS frames FROM u""")
+def q_compact_trace(v: Views) -> DataFrame:
+    n = F.col("n")
+    none = F.lit(None).cast("string")
+    frames = [F.struct((F.floor(n / 3**k) % 3).cast("string").alias("module"), none.alias("version"), none.alias("package"), F.lit(f"f{k}").alias("function")) for k in range(4)]
+    return v["u_finding"].select(n.alias("ordinal"), F.array_join(F.transform(T.compact(F.array(*frames)), lambda f: f["function"]), " ").alias("frames"))
+
+
+@query("""
+SELECT n AS ordinal, CASE WHEN level < 3 THEN '' ELSE CASE WHEN module = 'stdlib' THEN 'http' ELSE 'pkg' || CAST(n % 3 AS STRING) END
+  || CASE WHEN n % 2 = 0 THEN '.Client' ELSE '' END || '.Run' || CAST(n % 5 AS STRING) END AS symbol FROM {u_finding}""")
+def q_symbol_name(v: Views) -> DataFrame:
+    return v.findings().select("ordinal", T.symbol(FI.top()).alias("symbol"))
+
+
+@query("""
+SELECT p, 'go' || CAST(a AS STRING) || CASE WHEN c <> 0 OR (rel = 1 AND (a > 1 OR (a = 1 AND b >= 21))) THEN '.' || CAST(b AS STRING) || '.' || CAST(c AS STRING)
+  WHEN b = 0 THEN '' ELSE '.' || CAST(b AS STRING) END || CASE WHEN rel = 0 THEN '-rc' || CAST(rc AS STRING) ELSE '' END AS tag FROM {u_module} WHERE ok = 1""")
+def q_goversion_tag(v: Views) -> DataFrame:
+    return v["u_module"].where("ok = 1").select("p", semver.to_tag(F.col("version")).alias("tag"))
+
+
+@query("SELECT max(day) AS day FROM {u_osv} WHERE s IN (SELECT s FROM {u_affected})")
+def q_db_modified(v: Views) -> DataFrame:
+    return advisories.last_modified(v.entries()).select(F.date_format("modified", "yyyy-MM-dd").alias("day"))
+
+
+@query(f"""
+SELECT osv, path, symbol, CAST(k AS INT) AS rank, greatest(total - 5, 0) AS others FROM (SELECT *, row_number() OVER (PARTITION BY osv, path ORDER BY symbol) AS k,
+  count(*) OVER (PARTITION BY osv, path) AS total FROM {_SYMBOLS}) WHERE k <= 5""")
+def q_top5_symbols(v: Views) -> DataFrame:
+    return FI.top_symbols(v.sql(f"SELECT osv, path, symbol FROM {_SYMBOLS}"))
+
+
+@query("SELECT osv, CASE WHEN level = 3 THEN 3 WHEN level = 2 THEN 2 ELSE 1 END AS level, count(*) AS n FROM {u_finding} f WHERE level = (SELECT max(level) FROM {u_finding} g WHERE g.osv = f.osv) GROUP BY osv, level")
+def q_best_levels(v: Views) -> DataFrame:
+    from ..streaming.messages import best_levels
+
+    return best_levels(v.findings())
+
+
+@query("SELECT osv, module, count(*) AS n_findings FROM {u_finding} GROUP BY osv, module")
+def q_group_by_module(v: Views) -> DataFrame:
+    return FI.by_module(v.findings())
+
+
+@query(f"SELECT path, version, osv, 'Found ' || osv AS note FROM {_MATCH} WHERE p % 3 = 0")
+def q_module_findings(v: Views) -> DataFrame:
+    m = _affecting(v).join(v["u_module"].select(F.col("path").alias("k"), "p"), F.col("path") == F.col("k")).where("p % 3 = 0")
+    f = FI.module_findings(m.withColumn("fixed_version", F.lit("")))
+    return f.where(FI.valid(F.col("osv"), F.col("trace"))).select(FI.top()["module"].alias("path"), FI.top()["version"].alias("version"), "osv", F.concat(F.lit("Found "), F.col("osv")).alias("note"))
