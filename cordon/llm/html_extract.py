@@ -147,7 +147,7 @@ class Chain:
         return out[::-1]
 
 
-def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 12, rate: float = 0.3, ridge: float = 1e-4) -> Chain:
+def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 10, rate: float = 0.3, ridge: float = 1e-4) -> Chain:
     """Maximum conditional likelihood by adaptive gradient steps, one page at a time."""
     index: dict[str, int] = {}
     coded = [([[index.setdefault(f, len(index)) for f in fs] for fs in x], np.array(y)) for x, y in pages if x]
@@ -237,30 +237,34 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[int]]]:
         y += [1] * len(inner)
         for _ in range(int(rng.integers(1, 14))):
             kind = rng.random()
-            if kind < 0.7:
+            k = 1
+            if kind < 0.58:
                 inner.append(f"<p>{said(1, 80)}</p>")
-                y.append(1)
-            elif kind < 0.78:
+            elif kind < 0.64:
                 inner.append(f"<p><b>{said(1, 30)}<br><p>{said(1, 40)}</p>")
-                y += [1, 1]
-            elif kind < 0.84:
-                inner.append(f"<h2>{said(1, 8)}</h2>")
-                y.append(1)
-            elif kind < 0.89:
-                k = int(rng.integers(1, 5))
-                inner.append("<ul>" + "".join(f"<li>{said(1, 20)}</li>" for _ in range(k)) + "</ul>")
-                y += [1] * k
+                k = 2
+            elif kind < 0.7:
+                inner.append(f"<{(h := pick(('h2', 'h3', 'h4')))}>{said(1, 8)}</{h}>")
+            elif kind < 0.8:
+                k = int(rng.integers(1, 6))
+                inner.append(f"<{(h := pick(('ul', 'ol')))}>" + "".join(f"<li>{said(1, 20)}</li>" for _ in range(k)) + f"</{h}>")
+            elif kind < 0.83:
+                k = int(rng.integers(1, 4))
+                inner.append("<ul>" + "".join(f'<li><a href="#">{said(1, 8)}</a></li>' for _ in range(k)) + "</ul>")
+            elif kind < 0.86:
+                k = 2 * int(rng.integers(1, 4))
+                inner.append("<table>" + "".join(f"<tr><td>{said(1, 5)}</td><td>{said(1, 5)}</td></tr>" for _ in range(k // 2)) + "</table>")
+            elif kind < 0.9:
+                inner.append(f"<{(h := pick(('blockquote', 'pre', 'figcaption', 'div', 'section')))}>{said(3, 30)}</{h}>")
             elif kind < 0.92:
-                inner.append(f"<blockquote>{said(3, 30)}</blockquote>")
-                y.append(1)
-            elif kind < 0.94:
                 inner.append(f'<p><a href="#">{said(2, 8)}</a></p>')
-                y.append(1)
             else:
                 t, w, m = pick(junk)
                 h, z = part(t, w, 0, m)
                 inner.append(h)
                 y += z
+                k = 0
+            y += [1] * k
         if chance(0.15):
             h, z = part(pick(("div", "section")), COMMENTS, 0, True)
             inner.append(h)
