@@ -2,9 +2,9 @@
 
 Equal shingle sets become one class first, so exact copies never meet in pairs. Classes that share a
 band's minima share a bucket. In each bucket the member with most company is compared with all
-others; only buckets that still hold several components are then searched pair by pair, in blocks,
-by signatures, and what survives is compared on the full sets. So no link between different sets is
-lost that banding retrieves, while a group that hangs together costs as many comparisons as it has members.
+others; only buckets that still hold several components are then searched pair by pair, in blocks, by
+signatures and full sets, for links between components. So no connection is lost that banding retrieves,
+while a group that hangs together costs as many comparisons as it has members.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ MISS = 1e-4
 #: Standard errors below the threshold at which the signature rules a pair out.
 SIGMAS = 4.5
 #: Nodes in a block of a bucket, and rows up to which a list of nodes is broadcast.
-BLOCK = 256
+BLOCK = 512
 BROADCAST_NODES = 2_000_000
 
 
@@ -133,19 +133,19 @@ def _estimate_floor(percent: int, hashes: int) -> float:
     return t - SIGMAS * (t * (1 - t) / hashes) ** 0.5
 
 
-def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a bucket (key, node, n, comp, keys, bytes, size) whose signatures may reach the threshold.
+def _cross_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links between different components in buckets (key, node, n, comp, keys, bytes, shingles, size).
 
-    A bucket is cut into blocks by hash, and each pair of blocks is one small group; a pair of nodes that share
-    several buckets comes out of the first only.
+    A bucket is cut into blocks by hash, and each pair of blocks is one small group. There, pairs of different components whose
+    signatures may reach the threshold are compared on their full sets, in the first bucket that they share, until
+    they hang together: a group yields fewer links than it has components, however many pairs it has.
     """
     bands, per = bands_for(percent)
     floor = _estimate_floor(percent, bands * per)
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
-    blocked = rows.select("*", n_blocks.alias("nb"), mine.alias("mine")).select(
-        "key", "node", "n", "comp", "keys", "bytes", "mine", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
-    )
+    columns = ("key", "node", "n", "comp", "keys", "bytes", "shingles")
+    blocked = rows.select(*columns, n_blocks.alias("nb"), mine.alias("mine")).select(*columns, "mine", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
     blocked = blocked.select("*", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
     def run(t: pa.Table) -> pa.Table:
@@ -154,30 +154,32 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
         key = t.column("key")[0].as_py()
         keys = np.array(t.column("keys").to_pylist(), np.int64)
         sig = np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8).reshape(len(node), -1)
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
         at = int(np.flatnonzero((keys == key).any(axis=0))[0])
+        own = np.unique(comp, return_inverse=True)[1]
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        a_out, b_out, e_out = [], [], []
+        a_out, b_out = [], []
         for x in left.tolist():
-            y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
+            y = right[(own[right] != own[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
             if i == j:
                 y = y[node[y] > node[x]]
-            if len(y):
-                y = y[~(keys[y, :at] == keys[x, :at]).any(axis=1)]
-                est = (sig[y] == sig[x]).mean(axis=1)
-                ok = est >= floor
-                a_out += np.minimum(node[y[ok]], node[x]).tolist()
-                b_out += np.maximum(node[y[ok]], node[x]).tolist()
-                e_out += est[ok].tolist()
-        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64()), "est": pa.array(e_out, pa.float64())})
-
-    return blocked.groupBy("key", "i", "j").applyInArrow(run, "a long, b long, est double")
-
-
-def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) of different components, with both as ca and cb."""
-    a, b = (comps.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    named = pairs.join(a, "a", "left").join(b, "b", "left").withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
-    return named.where("ca <> cb")
+            if not len(y):
+                continue
+            y = y[~(keys[y, :at] == keys[x, :at]).any(axis=1)]
+            est = (sig[y] == sig[x]).mean(axis=1)
+            ok = np.flatnonzero(est >= floor)
+            for k in ok[np.argsort(-est[ok], kind="stable")].tolist():
+                z = int(y[k])
+                if own[z] == own[x]:
+                    continue
+                common = len(np.intersect1d(sets[x], sets[z], assume_unique=True))
+                if 100 * common >= percent * (len(sets[x]) + len(sets[z]) - common):
+                    a_out.append(min(node[x], node[z]))
+                    b_out.append(max(node[x], node[z]))
+                    own[own == own[z]] = own[x]
+        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+    return blocked.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -213,15 +215,9 @@ def links(docs: DataFrame, classes: DataFrame, n_words: int, percent: int) -> Da
     held = _with_components(buckets, comps)
     mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     rows = held.join(mixed, "key").join(nodes.select("node", F.col("n_shingles").alias("n"), "keys", "bytes"), "node")
-    left = written(_cross_pairs(rows, percent), "pairs").join(first, ["a", "b"], "left_anti")
-    # first the most alike pair of every two components, then what that leaves apart
-    apart = written(_across(left, comps), "pairs")
-    sides = F.greatest("ca", "cb").alias("hi"), F.least("ca", "cb").alias("lo")
-    best = apart.groupBy(*sides).agg(F.max_by(F.struct("a", "b"), F.struct("est", -F.col("a"), -F.col("b"))).alias("p"))
-    best = written(best.select("p.a", "p.b"), "pairs")
-    found = written(found.unionByName(_linked(best, docs, n_words, percent)), "links")
-    rest = _across(apart.select("a", "b"), components(found)).join(best, ["a", "b"], "left_anti")
-    return found.unionByName(_linked(written(rest.select("a", "b"), "pairs"), docs, n_words, percent))
+    rows = written(rows, "mixed")
+    sets = written(_sets(docs, rows.select("node").distinct(), n_words), "sets", "none")
+    return found.unionByName(written(_cross_links(rows.join(sets, "node"), percent).distinct(), "links"))
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
