@@ -129,7 +129,7 @@ class Views:
             F.array(F.concat(F.lit("CVE-"), F.col("id"))).alias("aliases"), F.concat(F.lit("Flaw "), F.col("id")).alias("summary"), F.lit("").alias("details"), "affected",
         )
         have = set(rows.columns)
-        return rows.select(*[F.col(x.name).cast(x.dataType) if x.name in have else F.lit(None).cast(x.dataType).alias(x.name) for x in ENTRY])
+        return rows.select(*[F.col(x.name).cast(x.dataType) if x.name in have else F.lit(None).cast(x.dataType).alias(x.name) for x in self.spark.createDataFrame([], ENTRY).schema])
 
     def findings(self) -> DataFrame:
         """(ordinal, osv, fixed_version, trace) of the finding stream."""

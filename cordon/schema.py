@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 EVENT = "STRUCT<introduced: STRING, fixed: STRING>"
 RANGE = f"STRUCT<type: STRING, events: ARRAY<{EVENT}>>"
@@ -24,15 +23,11 @@ CONFIG_DDL = (
 SBOM_DDL = "go_version STRING, modules ARRAY<STRUCT<path: STRING, version: STRING>>, roots ARRAY<STRING>"
 
 
-def _struct(ddl: str) -> str:
-    return StructType.fromDDL(ddl).simpleString()
-
-
-MESSAGE = StructType.fromDDL(
-    f"config {_struct(CONFIG_DDL)}, progress STRUCT<time: TIMESTAMP, message: STRING>, SBOM {_struct(SBOM_DDL)}, osv {_struct(ENTRY_DDL)}, finding {_struct(FINDING_DDL)}"
+MESSAGE = (
+    f"config STRUCT<{CONFIG_DDL}>, progress STRUCT<time: TIMESTAMP, message: STRING>, SBOM STRUCT<{SBOM_DDL}>, osv STRUCT<{ENTRY_DDL}>, finding STRUCT<{FINDING_DDL}>"
 )
-ENTRY = StructType.fromDDL(ENTRY_DDL)
-FINDING = StructType.fromDDL(FINDING_DDL)
+ENTRY = ENTRY_DDL
+FINDING = FINDING_DDL
 INDEX_MODULES_DDL = "path STRING, vulns ARRAY<STRUCT<id: STRING, modified: TIMESTAMP, fixed: STRING>>"
 BINARY_DDL = (
     "path STRING, main STRUCT<Path: STRING, Version: STRING>, "

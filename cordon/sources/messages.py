@@ -45,7 +45,10 @@ def read_blob(spark: SparkSession, path: str, name: str, version: str) -> DataFr
 
     Anything else is an error when it is read.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
+    whole = spark.read.text(path, wholetext=True)
+    if whole.isEmpty():
+        raise ValueError("not a binary abstraction: the file is empty")
+    lines = whole.select(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
     header = F.from_json(F.get("lines", F.lit(0)), "name string, version string")
     right = (F.size("lines") == 2) & F.coalesce((header["name"] == name) & (header["version"] == version), F.lit(False))
     body = F.from_json(F.get("lines", F.lit(1)), BINARY_DDL)
