@@ -7,6 +7,7 @@ with the merge table and contracts every piece's leftmost pair of minimum rank u
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,30 +18,41 @@ from pyspark.sql import functions as F
 from .pieces import PieceTable
 
 #: Pieces of one query at most, and the bytes from which a piece counts as long.
-QUERY_PIECES = 40_000
+QUERY_PIECES = 30_000
 LONG_BYTES = 256
 #: Tokens that one decoding query takes at most, unless one document has more.
 DECODE_TOKENS = 400_000
-DUCK_MB = 350
+DUCK_MB = 300
 
+#: One round of windows over the rows of long pieces: the pair of minimum rank, then position, becomes one row.
 _STEP = """
-  WITH p AS (SELECT {it} w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM {state}),
-  m AS (SELECT {pit} p.w, p.pos, p.tok, g.rank, g.rank * 4294967296 + p.pos AS k FROM p LEFT JOIN merges g ON p.tok = g.l AND p.nxt = g.r),
-  b AS (SELECT *, min(k) OVER (PARTITION BY w) AS best, lag(k) OVER (PARTITION BY w ORDER BY pos) AS prev FROM m)
-  SELECT {nit} w, pos, CASE WHEN k = best THEN rank ELSE tok END AS tok FROM b WHERE best IS NOT NULL AND prev IS DISTINCT FROM best
+  WITH m AS (SELECT t.*, g.rank * 4294967296 + t.pos AS k FROM {state} t LEFT JOIN merges g ON t.tok = g.l AND t.nxt = g.r),
+  b AS (SELECT *, min(k) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best, lag(k) OVER o AS before, lead(k) OVER o AS after,
+    lead(nxt) OVER o AS beyond FROM m WINDOW o AS (PARTITION BY w ORDER BY pos))
+  SELECT w, pos, CASE WHEN k = best THEN k >> 32 ELSE tok END AS tok, CASE WHEN k = best THEN beyond WHEN after = best THEN after >> 32 ELSE nxt END AS nxt
+  FROM b WHERE best IS NOT NULL AND before IS DISTINCT FROM best
 """
 
-#: Every round's rows are kept until the end, so it is for short pieces.
-ENCODE = (
-    "WITH RECURSIVE t(it, w, pos, tok) AS (SELECT 0, w, pos, tok FROM start UNION ALL SELECT * FROM ("
-    + _STEP.format(it="it,", pit="p.it,", nit="it + 1,", state="t")
-    + ")) SELECT w, list(tok ORDER BY pos) AS ids FROM (SELECT *, max(it) OVER (PARTITION BY w) AS last FROM t) WHERE it = last GROUP BY w ORDER BY w"
-)
+#: For pieces of less than 65,536 bytes: rows are linked by positions, so a round is joins and one aggregation. Every round's
+#: rows are kept until the end, so it is for short pieces.
+ENCODE = """
+WITH RECURSIVE t(it, w, pos, npos, tok, nxt) AS (
+  SELECT 0, w, pos, CASE WHEN nxt < 0 THEN -1 ELSE pos + 1 END, tok, nxt FROM start
+  UNION ALL SELECT * FROM (
+    WITH best AS (SELECT w, min(g.rank * 65536 + t.pos) AS k FROM t JOIN merges g ON t.tok = g.l AND t.nxt = g.r GROUP BY w),
+    u AS (SELECT t.*, k & 65535 AS spot, k >> 16 AS rank FROM t JOIN best USING (w)),
+    gone AS (SELECT w, npos AS gone FROM u WHERE pos = spot),
+    beyond AS (SELECT u.w, u.npos AS bpos, u.nxt AS btok, gone FROM u JOIN gone ON u.w = gone.w AND u.pos = gone)
+    SELECT it + 1, u.w, pos, CASE WHEN pos = spot THEN bpos ELSE npos END, CASE WHEN pos = spot THEN rank ELSE tok END,
+      CASE WHEN pos = spot THEN btok WHEN npos = spot THEN rank ELSE nxt END
+    FROM u JOIN beyond ON u.w = beyond.w WHERE pos <> gone))
+SELECT w, list(tok ORDER BY pos) AS ids FROM t JOIN (SELECT w, max(it) AS it FROM t GROUP BY w) USING (w, it) GROUP BY w ORDER BY w
+"""
 #: One row for each piece is kept; long pieces need no more memory than their own length.
 ENCODE_LONG = (
-    "WITH RECURSIVE t(w, toks) USING KEY (w) AS (SELECT w, list(tok ORDER BY pos) FROM start GROUP BY w UNION SELECT w, list(tok ORDER BY pos) FROM ("
-    + _STEP.format(it="", pit="", nit="", state="(SELECT w, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM t)")
-    + ") GROUP BY w) SELECT w, toks AS ids FROM t ORDER BY w"
+    "WITH RECURSIVE s(w, toks) USING KEY (w) AS (SELECT w, list(tok ORDER BY pos) FROM start GROUP BY w UNION SELECT w, list(tok ORDER BY pos) FROM ("
+    + _STEP.format(state="(SELECT w, unnest(toks) AS tok, unnest(list_append(toks[2:], NULL)) AS nxt, generate_subscripts(toks, 1) AS pos FROM s)")
+    + ") GROUP BY w) SELECT w, toks AS ids FROM s ORDER BY w"
 )
 DECODE = "SELECT d, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM ids JOIN vocabulary USING (id) GROUP BY d ORDER BY d"
 
@@ -56,7 +68,7 @@ class DuckBpe:
     def __init__(self, path: str):
         import duckdb
 
-        ranks = read_ranks(path)
+        self.ranks = ranks = read_ranks(path)
         left, right, rank = [], [], []
         for token, r in ranks.items():
             for i in range(1, len(token)):
@@ -85,22 +97,25 @@ class DuckBpe:
     def _encode(self, raw: list[bytes], sql: str) -> list[np.ndarray]:
         n = np.fromiter(map(len, raw), np.int64, len(raw))
         flat = np.frombuffer(b"".join(raw), np.uint8)
-        start = pa.table({"w": np.repeat(np.arange(len(raw)), n), "pos": np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n), "tok": self.byte[flat]})
+        tok = self.byte[flat]
+        nxt = np.append(tok[1:], -1)
+        nxt[np.cumsum(n) - 1] = -1  # the last token has none
+        start = pa.table({"w": np.repeat(np.arange(len(raw)), n), "pos": np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n), "tok": tok, "nxt": nxt})
         ids = self._query(sql, "start", start).column("ids").combine_chunks()
         at, values = ids.offsets.to_numpy(), ids.values.to_numpy()
         return [values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
     def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces one after another, and the number for each."""
+        """Ids of all pieces one after another, and the number for each; a piece that is a token is that token, as in the library."""
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        out: list[np.ndarray] = [None] * len(raw)  # type: ignore[list-item]
-        short = [k for k, b in enumerate(raw) if len(b) <= LONG_BYTES]
+        out = [None if (r := self.ranks.get(b)) is None else np.array([r]) for b in raw]
+        short = [k for k, b in enumerate(raw) if out[k] is None and len(b) <= LONG_BYTES]
         for i in range(0, len(short), QUERY_PIECES):
             part = short[i : i + QUERY_PIECES]
             for k, ids in zip(part, self._encode([raw[k] for k in part], ENCODE), strict=True):
                 out[k] = ids
         for k, b in enumerate(raw):
-            if len(b) > LONG_BYTES:
+            if out[k] is None:
                 out[k] = self._encode([b], ENCODE_LONG)[0]
         n = np.fromiter(map(len, out), np.int64, len(out))
         return np.concatenate(out) if out else np.zeros(0, np.int64), n
@@ -173,8 +188,24 @@ def decode(encoded: DataFrame, ranks: str, keep: tuple[str, ...] = ("doc_id", "n
     return source.mapInArrow(run, source.drop("__decoded_ids").schema.add("decoded", "binary"))
 
 
-def digests(docs: DataFrame, ranks: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Encode, decode, and reduce both to SHA-256 digests: ``keep``, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs, ranks, keep, text), ranks, (*keep, "n_tokens", "ids"))
-    return both.select(*keep, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def round_trip(docs: DataFrame, ranks: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass: ``keep``, n_tokens, ids_sha256, decoded_sha256 (lowercase hex), and the ids if asked for.
+
+    One Python worker does both, so ids don't travel between processes. As in ``encode``, null counts as empty.
+    """
+    source = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__encoded_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, table = worker(ranks)
+        for b in batches:
+            done = 0
+            for ids, n in table.encode_texts(b.column(b.num_columns - 1).to_pylist()):
+                part = b.slice(done, len(n))
+                done += len(n)
+                raw = _cut(ids, n)
+                decoded = bpe.decode(ids, n)
+                columns = [pa.array(n), pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in raw]), pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string())]
+                yield pa.record_batch([*part.columns[:-1], *columns, *([raw] if with_ids else [])], names=[*b.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
+    schema = source.drop("__encoded_text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    return source.mapInArrow(run, schema.add("ids", "binary") if with_ids else schema)

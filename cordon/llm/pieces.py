@@ -19,7 +19,7 @@ SEP = 0x110000
 #: Texts are encoded in groups of about so many characters; a longer text is a group of its own.
 GROUP_CHARS = 1 << 20
 #: Distinct pieces that are held at once; beyond it the table starts anew.
-MAX_PIECES = 1 << 20
+MAX_PIECES = 1 << 21
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -91,16 +91,16 @@ class PieceTable:
         self._clear()
 
     def _clear(self) -> None:
-        self.size = 4 * self.limit
+        self.size = 2 * self.limit
         self.key = np.zeros(self.size, np.uint64)
         self.code = np.full(self.size, -1, np.int32)
         self.n = 0
         self.chars = np.zeros(0, np.uint32)
         self.at = np.zeros(0, np.int64)
-        self.len = np.zeros(0, np.int64)
+        self.len = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
         self.id_at = np.zeros(0, np.int64)
-        self.id_n = np.zeros(0, np.int64)
+        self.id_n = np.zeros(0, np.int32)
 
     def _powers(self, n: int) -> None:
         if len(self._power) < n:
@@ -149,10 +149,10 @@ class PieceTable:
         new = [cps[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         ids, n = self.encode(new)
         self.at = np.append(self.at, len(self.chars) + np.cumsum(end - start) - (end - start))
-        self.len = np.append(self.len, end - start)
+        self.len = np.append(self.len, (end - start).astype(np.int32))
         self.chars = np.append(self.chars, _spans(cps, start, end - start))
         self.id_at = np.append(self.id_at, len(self.ids) + np.cumsum(n) - n)
-        self.id_n = np.append(self.id_n, n)
+        self.id_n = np.append(self.id_n, n.astype(np.int32))
         self.ids = np.append(self.ids, ids.astype(np.uint32))
         self._add(h, np.arange(self.n, self.n + len(h), dtype=np.int32))
         self.n += len(h)
@@ -177,7 +177,7 @@ class PieceTable:
             self._learn(cps, start[at], end[at], h[at])
             code[miss] = self._find(h[miss])
         length = end - start
-        n = self.id_n[code]
+        n = self.id_n[code].astype(np.int64)
         same = self.len[code] == length
         if not same.all() or not np.array_equal(_spans(self.chars, self.at[code], length), _spans(cps, start, length)):
             return self._slow(cps, start, end, ends)

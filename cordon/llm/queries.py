@@ -23,7 +23,7 @@ URL_RULES = [
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,9 +55,9 @@ def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """doc_id, n_tokens, ids (binary, unsigned 32-bit little-endian), and whether decoding them gives the text again."""
     ship(spark)
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)), ranks, ("doc_id", "digest"))
-    decoded = bpe.decode(encoded, ranks, ("doc_id", "digest", "n_tokens", "ids"))
-    return decoded.select("doc_id", "n_tokens", "ids", (F.sha2("decoded", 256) == F.col("digest")).alias("round_trip"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
+    both = bpe.round_trip(docs.select("doc_id", "text", digest), ranks, ("doc_id", "digest"), with_ids=True)
+    return both.select("doc_id", "n_tokens", "ids", (F.col("decoded_sha256") == F.col("digest")).alias("round_trip"))
 
 
 STAGES = [

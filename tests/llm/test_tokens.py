@@ -43,7 +43,7 @@ def test_table_starts_anew_and_survives_equal_hashes(monkeypatch):
 
 
 def test_bpe_round_trip(odd_docs, odd_texts, reference):
-    rows = bpe.digests(odd_docs, RANKS).collect()
+    rows = bpe.round_trip(odd_docs, RANKS).collect()
     assert len(rows) == len(odd_texts) + 2
     for r in rows:
         text = "no id at all" if r.doc_id is None else odd_texts[r.doc_id] or ""
@@ -53,6 +53,12 @@ def test_bpe_round_trip(odd_docs, odd_texts, reference):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_encode_then_decode(odd_docs, odd_texts):
+    encoded = bpe.encode(odd_docs.where("doc_id IS NOT NULL"), RANKS)
+    for r in bpe.decode(encoded, RANKS).collect():
+        assert bytes(r.decoded).decode() == (odd_texts[r.doc_id] or "") and len(r.ids) == 4 * r.n_tokens
+
+
 def test_long_pieces_equal_the_library(reference):
     duck, _ = bpe.worker(RANKS)
     rng = random.Random(8)
@@ -62,7 +68,7 @@ def test_long_pieces_equal_the_library(reference):
 
 
 def test_empty_table(no_docs):
-    assert bpe.digests(no_docs, RANKS).count() == 0
+    assert bpe.round_trip(no_docs, RANKS).count() == 0
     assert token_files.round_trip(no_docs, JSON).count() == 0
     blocks = token_counts.write_flat(no_docs, JSON, 50256)
     assert token_counts.label(token_counts.scan(blocks, 50256), blocks).count() == 0
