@@ -11,19 +11,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a new local folder is made and set.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="cordon-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
+from ..tables import shared_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
