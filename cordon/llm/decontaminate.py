@@ -110,7 +110,8 @@ def find(docs: DataFrame, benchmark: DataFrame, n_words: int = 5, similarity: fl
     listed = marked.select("item_fp", "len").distinct().select("item_fp", "len", F.explode(blocks(F.col("item_fp"))).alias("b"))
     listed = listed.select("item_fp", "len", F.col("b.j").alias("j"), F.explode(F.transform(masks, lambda m: F.col("b.v").bitwiseXOR(m))).alias("v"))
     asked = cut.select("fp", "len").distinct().select("fp", "len", F.explode(blocks(F.col("fp"))).alias("b")).select("fp", "len", "b.j", "b.v")
-    near = asked.join(listed, ["j", "v", "len"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("fp", "item_fp", "len").distinct()
+    # the list has thousands of rows for each item, which Catalyst's estimate before the explode does not see
+    near = asked.join(listed.hint("merge"), ["j", "v", "len"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("fp", "item_fp", "len").distinct()
     # distinct windows and items of the candidates; the hot ones were one fingerprint so far
     pairs = near.join(cut.select("fp", "len", "ww").distinct(), ["fp", "len"]).join(marked.select("item_id", "item_fp", "len", "iw"), ["item_fp", "len"])
     a, b = _shingles(F.col("ww"), n_words), _shingles(F.col("iw"), n_words)
