@@ -15,14 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .pieces import PieceTable
 
 #: Pieces of one query at most, and the bytes from which a piece counts as long.
-QUERY_PIECES = 30_000
+QUERY_PIECES = 10_000
 LONG_BYTES = 256
 #: Tokens that one decoding query takes at most, unless one document has more.
-DECODE_TOKENS = 400_000
-DUCK_MB = 300
+DECODE_TOKENS = 100_000
+DUCK_MB = 110
+#: Pieces that a worker holds; half of the usual number, as DuckDB lives in the same process.
+HELD_PIECES = 1 << 19
 
 #: One round of windows over the rows of long pieces: the pair of minimum rank, then position, becomes one row.
 _STEP = """
@@ -137,7 +140,7 @@ def worker(path: str) -> tuple[DuckBpe, PieceTable]:
     """The connection and table of this Python worker; both outlive a task."""
     if path not in _WORKER:
         bpe = DuckBpe(path)
-        _WORKER[path] = bpe, PieceTable(bpe.encode)
+        _WORKER[path] = bpe, PieceTable(bpe.encode, HELD_PIECES)
     return _WORKER[path]
 
 
@@ -150,7 +153,7 @@ def encode(docs: DataFrame, ranks: str, keep: tuple[str, ...] = ("doc_id",), tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = worker(ranks)[1]
-        for b in batches:
+        for b in slices(batches):
             done = 0
             for ids, n in table.encode_texts(b.column(b.num_columns - 1).to_pylist()):
                 part = b.slice(done, len(n))
@@ -160,6 +163,18 @@ def encode(docs: DataFrame, ranks: str, keep: tuple[str, ...] = ("doc_id",), tex
     return source.mapInArrow(run, source.drop("__encoded_text").schema.add("n_tokens", "long").add("ids", "binary"))
 
 
+def _runs(n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of documents of ``DECODE_TOKENS`` tokens at most, or of one document."""
+    a, size = 0, 0
+    for z, k in enumerate(n.tolist()):
+        if z > a and size + k > DECODE_TOKENS:
+            yield a, z
+            a, size = z, 0
+        size += k
+    if len(n):
+        yield a, len(n)
+
+
 def _cut(ids: np.ndarray, n: np.ndarray) -> pa.Array:
     raw = ids.astype("<u4").tobytes()
     at = (np.append(0, np.cumsum(n)) * 4).tolist()
@@ -172,18 +187,12 @@ def decode(encoded: DataFrame, ranks: str, keep: tuple[str, ...] = ("doc_id", "n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker(ranks)[0]
-        for b in batches:
+        for b in slices(batches):
             raw = [x or b"" for x in b.column(b.num_columns - 1).to_pylist()]
-            a = 0
-            while a < len(raw):
-                z, size = a, 0
-                while z < len(raw) and (z == a or size + len(raw[z]) // 4 <= DECODE_TOKENS):
-                    size += len(raw[z]) // 4
-                    z += 1
-                n = np.fromiter((len(x) // 4 for x in raw[a:z]), np.int64, z - a)
-                got = bpe.decode(np.frombuffer(b"".join(raw[a:z]), "<u4"), n)
+            sizes = np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw))
+            for a, z in _runs(sizes):
+                got = bpe.decode(np.frombuffer(b"".join(raw[a:z]), "<u4"), sizes[a:z])
                 yield pa.record_batch([*b.slice(a, z - a).columns[:-1], pa.array(got, pa.binary())], names=[*b.schema.names[:-1], "decoded"])
-                a = z
 
     return source.mapInArrow(run, source.drop("__decoded_ids").schema.add("decoded", "binary"))
 
@@ -197,13 +206,13 @@ def round_trip(docs: DataFrame, ranks: str, keep: tuple[str, ...] = ("doc_id",),
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, table = worker(ranks)
-        for b in batches:
+        for b in slices(batches):
             done = 0
             for ids, n in table.encode_texts(b.column(b.num_columns - 1).to_pylist()):
                 part = b.slice(done, len(n))
                 done += len(n)
                 raw = _cut(ids, n)
-                decoded = bpe.decode(ids, n)
+                decoded = [x for a, z in _runs(n) for x in bpe.decode(ids[int(n[:a].sum()) : int(n[:z].sum())], n[a:z])]
                 columns = [pa.array(n), pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in raw]), pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string())]
                 yield pa.record_batch([*part.columns[:-1], *columns, *([raw] if with_ids else [])], names=[*b.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 

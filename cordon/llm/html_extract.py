@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Fixed values of HTML: elements without text of their own, without end tags, and that do not end a block.
 UNSEEN = frozenset("script style head title noscript template svg math iframe object canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -318,7 +320,7 @@ def extract(pages: DataFrame, model: Chain, keep: tuple[str, ...] = ("page_id",
     source = pages.select(*keep, F.col("html").alias("__html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             text = [main_text(h, model) for h in b.column(b.num_columns - 1).to_pylist()]
             yield pa.record_batch([*b.columns[:-1], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=[*keep, "text", "n_chars"])
 

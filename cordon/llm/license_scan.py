@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .near_dedup import _family, band_keys, bands_for, signature
 from .shingles import in_order, ordered
 
@@ -86,7 +87,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, n
     t = Templates(TEMPLATES if templates is None else templates, n_words, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids, rows = b.column("doc_id").to_pylist(), []
             for d, s in zip(ids, in_order(b.column("text").to_pylist(), n_words), strict=True):
                 rows += [(d, t.names[k], k, c, p) for k, c, p in t.matches(s)]

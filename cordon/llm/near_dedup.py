@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, slices, written
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -73,7 +73,7 @@ def sketches(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _family(bands * rows)
-        for batch in batches:
+        for batch in slices(batches):
             n, digest, keys, low = [], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), n_words):
                 n.append(len(s))
@@ -97,7 +97,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, n_words: int) -> DataFrame:
     source = docs.select(F.col("doc_id").alias("node"), "text").join(listed, "node", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             raw = [s.tobytes() for s in shingle_sets(b.column("text").to_pylist(), n_words)]
             yield pa.record_batch([b.column("node"), pa.array(raw, pa.binary())], names=["node", "shingles"])
 

@@ -17,9 +17,9 @@ import regex
 OTHER, LETTER, NUMBER, BLANK, SPACE, END = range(6)
 SEP = 0x110000
 #: Texts are encoded in groups of about so many characters; a longer text is a group of its own.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 #: Distinct pieces that are held at once; beyond it the table starts anew.
-MAX_PIECES = 1 << 21
+MAX_PIECES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Texts are hashed in groups of about so many bytes; a longer text is a group of its own.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _ODD = [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 from .token_files import library
 
 #: Ids in a block.
@@ -52,7 +52,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BL
                 names=["file", "block", "data", "doc_ids"],
             )
 
-        for b in batches:
+        for b in slices(batches):
             ids_of = b.column("doc_id").to_pylist()
             done = 0
             for ids, n in lib.encode(b.column("text").to_pylist(), special=False):

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, new_path, written
+from .common import drop_written, new_path, slices, written
 from .pieces import PieceTable
 
 END_ID = 0
@@ -111,7 +111,7 @@ def encode_sorted(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib, shard, at = library(tokenizer), TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in slices(batches):
             done = 0
             for ids, n in lib.encode(b.column("text").to_pylist()):
                 n1 = n + 1
