@@ -1,23 +1,19 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
+"""Benchmark decontamination: item-sized windows aligned by shared shingles, prefix index, exact verification.
 
 DataFrame functions only. A window can only be similar to an item if they share a shingle, so the
 documents' shingles meet the benchmark's in an equi-join, and each meeting aligns one window as long as
-the item. Distinct fingerprints of such windows meet those of the items in an index of four 16-bit blocks
-that lists every value within 3 bits of the item's: by the pigeonhole principle that retrieves all fingerprints
-within ``RADIUS`` bits. The candidates' shingles, weighted by how often they occur, decide.
+the item. Of an item's shingles, so many are listed, those in fewest items first, that the others together weigh
+less than the similarity asks for: a window that is similar has a listed one, so no item of such a window is missed.
+The candidates' shingles, weighted by how often they occur, decide.
 """
 
 from __future__ import annotations
 
-import itertools
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, written
 
-RADIUS = 15
-BLOCKS, BLOCK_BITS = 4, 16
 #: Rows up to which a side is broadcast; counted first.
 BROADCAST_SHINGLES = 1_000_000
 BROADCAST_DOCS = 500_000
@@ -42,24 +38,20 @@ def _shingles(words: Column, n: int) -> Column:
     ).otherwise(F.array(F.array_join(words, " ")))
 
 
-def simhash(words: Column) -> Column:
-    """64 bits, each the majority of its bit in the words' hashes; repeated words weigh as often as they occur, a draw is 0."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    ones = lambda b: F.aggregate(hashes, F.lit(0), lambda a, h: a + F.getbit(h, b).cast("int"))
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(63)),
-        F.lit(0).cast("bigint"),
-        lambda acc, b: acc.bitwiseOR(F.when(ones(b) * 2 > F.size(words), F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))),
-    )
-
-
-def _block(fp: Column, j: int) -> Column:
-    return F.shiftrightunsigned(fp, j * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
+def _hashes(words: Column, n: int) -> Column:
+    """Hash of each of the shingles; equal hashes of unlike ones only add candidates."""
+    return F.transform(_shingles(words, n), lambda x: F.xxhash64(x))
 
 
-def _near_masks() -> list[int]:
-    """All 16-bit values of at most RADIUS // BLOCKS bits."""
-    return [sum(1 << b for b in c) for k in range(RADIUS // BLOCKS + 1) for c in itertools.combinations(range(BLOCK_BITS), k)]
+def _listed(items: DataFrame, n_words: int, similarity: float) -> DataFrame:
+    """(len, h, item_fp): of each item's shingles, those in fewest items first, so many that the others' share is below ``similarity``."""
+    spread = items.select("len", "iw").distinct().select("len", "iw", F.explode(_hashes(F.col("iw"), n_words)).alias("h"))
+    times = spread.groupBy("len", "iw", "h").agg(F.count("*").alias("times"))
+    times = times.join(times.groupBy("len", "h").agg(F.count("*").alias("texts")), ["len", "h"])
+    before = F.sum("times").over(Window.partitionBy("iw").orderBy("texts", "h").rowsBetween(Window.unboundedPreceding, -1))
+    weight = F.size(_shingles(F.col("iw"), n_words))
+    ranked = times.withColumn("before", F.coalesce(before, F.lit(0)))
+    return ranked.where((weight - F.col("before")) / weight >= similarity).select("len", "h", F.xxhash64("iw").alias("item_fp"))
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -102,17 +94,15 @@ def find(docs: DataFrame, benchmark: DataFrame, n_words: int = 5, similarity: fl
     # only documents that have windows are cut into words again
     cut = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(side, "doc_id").select("doc_id", words_of(F.col("text")).alias("w"), "windows")
     cut = cut.select("doc_id", F.explode(F.transform("windows", lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), F.slice(F.col("w"), x["at"] + 1, x["len"]).alias("ww")))).alias("x"))
-    cut = written(cut.select("doc_id", "x.at", "x.len", "x.ww").where(F.size("ww") == F.col("len")).withColumn("fp", simhash(F.col("ww"))), "fingerprints")
-
-    marked = items.withColumn("item_fp", simhash(F.col("iw")))
-    masks = F.array(*[F.lit(m) for m in _near_masks()])
-    blocks = lambda fp: F.array(*[F.struct(F.lit(j).alias("j"), _block(fp, j).alias("v")) for j in range(BLOCKS)])
-    listed = marked.select("item_fp", "len").distinct().select("item_fp", "len", F.explode(blocks(F.col("item_fp"))).alias("b"))
-    listed = listed.select("item_fp", "len", F.col("b.j").alias("j"), F.explode(F.transform(masks, lambda m: F.col("b.v").bitwiseXOR(m))).alias("v"))
-    asked = cut.select("fp", "len").distinct().select("fp", "len", F.explode(blocks(F.col("fp"))).alias("b")).select("fp", "len", "b.j", "b.v")
-    # the list has thousands of rows for each item, which Catalyst's estimate before the explode does not see
-    near = asked.join(listed.hint("merge"), ["j", "v", "len"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("fp", "item_fp", "len").distinct()
-    # distinct windows and items of the candidates; the hot ones were one fingerprint so far
+    cut = written(cut.select("doc_id", "x.at", "x.len", "x.ww").where(F.size("ww") == F.col("len")).withColumn("fp", F.xxhash64("ww")), "fingerprints")
+
+    marked = items.withColumn("item_fp", F.xxhash64("iw"))
+    listed = written(_listed(items, n_words, similarity), "listed")
+    if listed.count() <= BROADCAST_SHINGLES:
+        listed = F.broadcast(listed)
+    asked = cut.select("fp", "len", "ww").distinct().select("fp", "len", F.explode(F.array_distinct(_hashes(F.col("ww"), n_words))).alias("h"))
+    near = asked.join(listed, ["len", "h"]).select("fp", "item_fp", "len").distinct()
+    # distinct windows and items of the candidates
     pairs = near.join(cut.select("fp", "len", "ww").distinct(), ["fp", "len"]).join(marked.select("item_id", "item_fp", "len", "iw"), ["item_fp", "len"])
     a, b = _shingles(F.col("ww"), n_words), _shingles(F.col("iw"), n_words)
     share = pairs.select("fp", "len", "ww", "item_id", (_common(a, b) / F.size(b)).alias("similarity")).where(F.col("similarity") >= similarity)

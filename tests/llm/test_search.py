@@ -107,6 +107,23 @@ def test_decontamination_without_broadcast(spark, monkeypatch):
     assert [(r.doc_id, r.item_id) for r in decontaminate.find(docs, spark.createDataFrame([(5, "w e r t y u")], "item_id long, text string")).collect()] == [(1, 5)]
 
 
+def test_decontamination_of_items_cut_to_the_threshold(spark):
+    """The last fifth of the item's shingles is other text: words of their own, or one word again and again."""
+    rng = random.Random(16)
+    items = [(k, words(rng, 15 + k)) for k in range(45)]
+    texts = []
+    for k, x in items:
+        w = x.split()
+        keep = len(w) - (len(w) - 4) // 5
+        texts += [(10 * k + j, f"{words(rng, 9)} {' '.join([*w[:keep], *tail[: len(w) - keep]])} {words(rng, 9)}") for j, tail in enumerate((words(rng, 60).split(), ["zz"] * 60))]
+        texts += [(10 * k + 2 + j, f"{words(rng, 9)} {' '.join([*tail[: len(w) - keep], *w[len(w) - keep :]])} {words(rng, 9)}") for j, tail in enumerate((words(rng, 60).split(), ["zz"] * 60))]
+        texts.append((10 * k + 4, f"{words(rng, 9)} {' '.join(w[: keep - 1])} {words(rng, 60)}"))
+    found = decontaminate.find(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): r.similarity for r in found}
+    want = {(d, d // 10): c for d, t in texts for c in [contained(t, items[d // 10][1])] if c >= 0.8}
+    assert len(want) == 4 * len(items) and got == pytest.approx(want)
+
+
 def test_multi_index_is_exact():
     rng = np.random.default_rng(0)
     codes = rng.integers(0, 256, (400, 32), np.uint8)
