@@ -2,7 +2,7 @@
 
 DataFrame functions only. A window can only be similar to an item if they share a shingle, so the
 documents' shingles meet the benchmark's in an equi-join, and each meeting aligns one window as long as
-the item. Of an item's shingles, so many are listed, those in fewest items first, that the others together weigh
+the item, or the whole of a shorter text. Of an item's shingles, so many are listed, those in fewest items first, that the others together weigh
 less than the similarity asks for: a window that is similar has a listed one, so no item of such a window is missed.
 The candidates' shingles, weighted by how often they occur, decide.
 """
@@ -65,7 +65,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n_words: int = 5, similarity: fl
 
     Similarity is the weight of the item's shingles (as often as they occur) that the best window of the item's length has,
     as a share of the item's. Words are runs of letters and digits, A-Z lower-cased; an item of fewer words than ``n_words`` is
-    one shingle, one without words is never found. Null and empty texts hold nothing. Rows that share an id count as
+    one shingle, one without words is never found. A text of fewer words than the item is one window, as it is. Null and empty texts hold nothing. Rows that share an id count as
     one document (or item) with each row's text; rows without an id are left out. Other columns play no part.
     """
     spark = docs.sparkSession
@@ -83,7 +83,8 @@ def find(docs: DataFrame, benchmark: DataFrame, n_words: int = 5, similarity: fl
         if places.count() <= BROADCAST_SHINGLES:
             places = F.broadcast(places)
         grams = texts.select("doc_id", F.size("w").alias("words"), F.posexplode(_grams(F.col("w"), k)).alias("p", "h"))
-        met = grams.join(places, "h").where("words >= len")
+        met = grams.join(places, "h")
+        # a text shorter than the item is one window
         start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("words") - F.col("len")))
         met = met.select("doc_id", start.alias("at"), "len")
         windows = met if windows is None else windows.unionByName(met)
@@ -93,8 +94,8 @@ def find(docs: DataFrame, benchmark: DataFrame, n_words: int = 5, similarity: fl
     side = F.broadcast(by_doc) if by_doc.count() <= BROADCAST_DOCS else by_doc
     # only documents that have windows are cut into words again
     cut = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(side, "doc_id").select("doc_id", words_of(F.col("text")).alias("w"), "windows")
-    cut = cut.select("doc_id", F.explode(F.transform("windows", lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), F.slice(F.col("w"), x["at"] + 1, x["len"]).alias("ww")))).alias("x"))
-    cut = written(cut.select("doc_id", "x.at", "x.len", "x.ww").where(F.size("ww") == F.col("len")).withColumn("fp", F.xxhash64("ww")), "fingerprints")
+    cut = cut.select("doc_id", F.explode(F.transform("windows", lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), F.slice(F.col("w"), x["at"] + 1, x["len"]).alias("ww")))).alias("x"), F.size("w").alias("words"))
+    cut = written(cut.where(F.size("x.ww") == F.least("x.len", "words")).select("doc_id", "x.at", "x.len", "x.ww").withColumn("fp", F.xxhash64("ww")), "fingerprints")
 
     marked = items.withColumn("item_fp", F.xxhash64("iw"))
     listed = written(_listed(items, n_words, similarity), "listed")
@@ -109,7 +110,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n_words: int = 5, similarity: fl
     found = cut.join(share, ["fp", "len", "ww"])
     return found.groupBy("doc_id", "item_id").agg(
         F.max("similarity").alias("similarity"),
-        F.max_by(F.struct(F.col("at").alias("word_at"), F.col("len").alias("n_words")), F.struct("similarity", -F.col("at"), "len")).alias("w"),
+        F.max_by(F.struct(F.col("at").alias("word_at"), F.size("ww").alias("n_words")), F.struct("similarity", -F.col("at"), "len")).alias("w"),
     ).select("doc_id", "item_id", "similarity", "w.word_at", "w.n_words")
 
 

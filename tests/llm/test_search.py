@@ -124,6 +124,19 @@ def test_decontamination_of_items_cut_to_the_threshold(spark):
     assert len(want) == 4 * len(items) and got == pytest.approx(want)
 
 
+def test_decontamination_of_texts_shorter_than_the_item(spark):
+    rng = random.Random(26)
+    items = [(k, words(rng, n)) for k, n in enumerate((2, 5, 6, 12, 40, 59))]
+    cuts = [(k, t) for k, x in items for w in [x.split()] for t in (" ".join(w[1:]), " ".join(w[:-1]), " ".join(w[2:-2]), " ".join(w[: len(w) // 2]))]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cuts)], "doc_id long, text string")
+    # the whole text as the window: padded to the item's length with words of no item
+    want = {(i, k): c for i, (_, t) in enumerate(cuts) for k, x in items for c in [contained(" ".join([*t.split(), *["-zz"] * len(x.split())]), x)] if c >= 0.8}
+    found = decontaminate.find(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.similarity for r in found} == pytest.approx(want)
+    assert {(r.doc_id, r.word_at, r.n_words) for r in found} == {(i, 0, len(cuts[i][1].split())) for i, _ in want}
+    assert {items[k][0] for _, k in want} == {3, 4, 5}
+
+
 def test_multi_index_is_exact():
     rng = np.random.default_rng(0)
     codes = rng.integers(0, 256, (400, 32), np.uint8)
