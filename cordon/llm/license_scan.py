@@ -9,6 +9,7 @@ without any template's shingle can't hold a template and are not sketched.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,13 +40,21 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 
 
+_BETWEEN = re.compile(r"[\W_]+")
+
+
+def _plain(text: str | None) -> str:
+    """Runs of letters and digits with one space between them."""
+    return _BETWEEN.sub(" ", text or "")
+
+
 class Templates:
     """Templates' shingle sets and the bands that retrieve them; their number is a parameter, not data."""
 
     def __init__(self, templates: dict[str, tuple[str, ...]], n_words: int, percent: int):
         self.n_words, self.percent = n_words, percent
         self.names = [name for name, texts in templates.items() for _ in texts]
-        raw = [t.encode().lower() for texts in templates.values() for t in texts]
+        raw = [_plain(t).encode().lower() for texts in templates.values() for t in texts]
         self.sets = [np.unique(s) for s in ordered(raw, n_words)] if raw else []
         self.words = [len(b.split()) for b in raw]
         self.bands, self.rows = bands_for(100 * percent // (300 - percent))
@@ -81,7 +90,7 @@ class Templates:
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, n_words: int = 5, percent: int = 80) -> DataFrame:
     """A row for each document and template found: doc_id, license, template (its number), containment, word_at (of the window).
 
-    Words and shingles are as in near-dedup. Null and empty texts match nothing; a template of fewer words than
+    Words are runs of letters and digits, so punctuation plays no part; shingles are as in near-dedup. Null and empty texts match nothing; a template of fewer words than
     ``n_words`` is one shingle, found only as a whole text. Repeated rows are scanned each; only doc_id and text are read.
     """
     t = Templates(TEMPLATES if templates is None else templates, n_words, percent)
@@ -89,7 +98,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             ids, rows = b.column("doc_id").to_pylist(), []
-            for d, s in zip(ids, in_order(b.column("text").to_pylist(), n_words), strict=True):
+            for d, s in zip(ids, in_order([_plain(x) for x in b.column("text").to_pylist()], n_words), strict=True):
                 rows += [(d, t.names[k], k, c, p) for k, c, p in t.matches(s)]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int64()]

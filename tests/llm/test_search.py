@@ -68,6 +68,16 @@ def test_license_scan(spark, odd_docs, no_docs):
     assert license_scan.scan(odd_docs).count() == 0 and license_scan.scan(no_docs).count() == 0 and license_scan.scan(docs, {}).count() == 0
 
 
+def test_license_notices_with_other_punctuation(spark):
+    rng = random.Random(8)
+    notices = [
+        ("CC-BY-4.0", "Licensed under CC BY 4.0"), ("CC-BY-NC-4.0", "(licensed under CC BY-NC 4.0)"), ("MIT", "(Released under the MIT License)"),
+        ("Apache-2.0", "Licensed under the Apache License, Version 2.0, see NOTICE"),
+    ]
+    docs = spark.createDataFrame([(i, f"{words(rng, 30)} {t} {words(rng, 30)}") for i, (_, t) in enumerate(notices)], "doc_id long, text string")
+    assert {(r.doc_id, r.license) for r in license_scan.scan(docs).collect()} == {(i, n) for i, (n, _) in enumerate(notices)}
+
+
 def contained(text: str, item: str, n: int = 5) -> float:
     import re
 
