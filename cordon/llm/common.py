@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import io
 import os
 import tempfile
@@ -57,10 +59,35 @@ def ship(spark: SparkSession) -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
-    """Batches cut into smaller ones, so that a worker turns few texts into Python objects at a time."""
+    """Batches cut into smaller ones, so that a worker turns few texts into Python objects at a time; after the last one memory is given back."""
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+    release()
+
+
+#: A key with more rows than this, and than one in ``HOT_SHARE`` of all, is hot.
+HOT_ROWS, HOT_SHARE = 100, 10_000
+
+
+def join_sized(rows: DataFrame, side: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined with ``side``, which has one row for each key and in ``size`` how many of ``rows`` have it; ``total`` is their sum or more.
+
+    Keys with more than ``HOT_ROWS`` rows and one in ``HOT_SHARE`` of all are met by a broadcast, as there are ``HOT_SHARE`` (or a hundredth of
+    the rows, if that is less) of them at most; the others by a shuffle, in which no key is hot. Both sides are read more than once.
+    """
+    hot = side.where(F.col(size) > max(HOT_ROWS, total // HOT_SHARE))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(side, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def release() -> None:
+    """Give freed memory back at the end of a task: Python workers outlive it, and what they keep counts against the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, join_sized, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every node links its larger neighbours to the smallest of its neighbours and itself."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    # of a node's edges only those to larger ones stay
+    return join_sized(both, least, "u", "n", 2 * n).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Every node links its smaller neighbours and itself to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = join_sized(edges, least, "a", "n", n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -38,8 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
     )
     seen = _print(now)
     while seen[0]:
-        step = written(_small_star(_large_star(now)), "edges")
-        drop_written(now.sparkSession, now)
+        large = written(_large_star(now, seen[0]), "edges")
+        step = written(_small_star(large, 2 * seen[0]), "edges")
+        drop_written(now.sparkSession, now, large)
         now, before, seen = step, seen, _print(step)
         if seen == before:
             break

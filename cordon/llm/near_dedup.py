@@ -2,22 +2,23 @@
 
 Equal shingle sets become one class first, so exact copies never meet in pairs. Classes that share a
 band's minima share a bucket. In each bucket the member with most company is compared with all
-others; only buckets that still hold several components are then searched pair by pair, in blocks, by
-signatures and full sets, for links between components. So no connection is lost that banding retrieves,
-while a group that hangs together costs as many comparisons as it has members.
+others; only buckets that still hold several components are then searched for links between components: small ones
+pair by pair, by signatures and full sets; large ones only where two sets share one of their rarest shingles, which linked sets must.
+So no connection is lost that banding retrieves, while a group that hangs together costs as many comparisons as it has members.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from .common import drop_written, slices, written
+from .common import drop_written, join_sized, release, slices, written
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -67,76 +68,111 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.astype(np.int64)
 
 
-def sketches(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set), keys (of the bands) and bytes (the lowest of each minimum), the last three null for empty sets."""
+def sketches(docs: DataFrame, n_words: int, percent: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, digest (of the set), keys (of the bands) and bytes (the lowest of each minimum), the last three null for empty sets, and ``keep``."""
     bands, rows = bands_for(percent)
+    source = docs.select(*keep, "doc_id", F.col("text").alias("__sketched_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _family(bands * rows)
         for batch in slices(batches):
             n, digest, keys, low = [], [], [], []
-            for s in shingle_sets(batch.column("text").to_pylist(), n_words):
+            for s in shingle_sets(batch.column(batch.num_columns - 1).to_pylist(), n_words):
                 n.append(len(s))
                 sig = signature(s, a, b) if len(s) else None
-                digest.append(None if sig is None else hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                digest.append(None if sig is None else _digest(s.tobytes()))
                 keys.append(None if sig is None else band_keys(sig, bands, rows).tolist())
                 low.append(None if sig is None else sig.astype(np.uint8).tobytes())
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "keys", "bytes"],
-            )
+            made = [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())]
+            yield pa.record_batch([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "n_shingles", "digest", "keys", "bytes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, bytes binary")
+    schema = source.drop("__sketched_text").schema
+    for name, kind in (("n_shingles", "long"), ("digest", "binary"), ("keys", ArrayType(LongType())), ("bytes", "binary")):
+        schema = schema.add(name, kind)
+    return source.mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, n_words: int) -> DataFrame:
-    """(node, shingles) of the documents listed; the list is broadcast up to ``BROADCAST_NODES`` rows, counted first."""
-    listed = nodes.select("node").distinct()
+    """(node, data), the full sets of the classes listed (node, first_doc, digest); the list is broadcast up to ``BROADCAST_NODES`` rows, counted first."""
     if nodes.count() <= BROADCAST_NODES:
-        listed = F.broadcast(listed)
-    source = docs.select(F.col("doc_id").alias("node"), "text").join(listed, "node", "left_semi")
+        nodes = F.broadcast(nodes)
+    source = docs.select(F.col("doc_id").alias("first_doc"), "text").join(nodes.select("first_doc", "node", "digest"), "first_doc").select("node", "digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             raw = [s.tobytes() for s in shingle_sets(b.column("text").to_pylist(), n_words)]
-            yield pa.record_batch([b.column("node"), pa.array(raw, pa.binary())], names=["node", "shingles"])
+            # other texts of the same id have another digest
+            own = [_digest(x) == d for x, d in zip(raw, b.column("digest").to_pylist(), strict=True)]
+            yield pa.record_batch([b.column("node"), pa.array(raw, pa.binary())], names=["node", "data"]).filter(pa.array(own, pa.bool_()))
 
-    return source.mapInArrow(run, "node long, shingles binary")
+    return source.mapInArrow(run, "node long, data binary")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 x intersection >= percent x union."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    sets = written(_sets(docs, nodes, n_words), "sets", "none")
-    both = (
-        pairs.select("a", "b")
-        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+def _digest(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
+def _verified(pairs: DataFrame, payload: DataFrame, test: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs (a, b) whose payloads (node, data) pass the test.
+
+    The members b of each a are dealt into blocks, and each block's rows stand sorted behind one row of a, so the payload of
+    a node with many partners is neither copied to each of them nor held in one task.
+    """
+    pairs = written(pairs.select("a", "b").distinct(), "pairs")
+    company = pairs.groupBy("a").agg(F.count("*").alias("size"))
+    placed = written(
+        join_sized(pairs, company, "a", "size", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / BLOCK)).cast("int").alias("block")), "placed"
     )
+    members = placed.join(payload.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "data")
+    heads = placed.select("a", "block").distinct().join(payload.withColumnRenamed("node", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "data")
+    rows = members.unionByName(heads).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        head: bytes = b""
+        for batch in batches:
             keep = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(u) + len(v) - len(np.unique(np.concatenate([u, v])))
-                keep.append(100 * common >= percent * (len(u) + len(v) - common))
-            yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    out = written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), "links")
-    drop_written(pairs.sparkSession, sets)
+            for b, data in zip(batch.column("b").to_pylist(), batch.column("data"), strict=True):
+                if b is None:
+                    head = data.as_py()
+                keep.append(b is not None and test(head, data.as_buffer()))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
+
+    out = written(rows.mapInArrow(run, "a long, b long").distinct(), "links")
+    drop_written(pairs.sparkSession, placed, pairs)
     return out
 
 
+def _same_sets(percent: int) -> Callable[[bytes, bytes], bool]:
+    def test(x: bytes, y: bytes) -> bool:
+        u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        common = len(np.intersect1d(u, v, assume_unique=True))
+        return 100 * common >= percent * (len(u) + len(v) - common)
+
+    return test
+
+
+def _same_signatures(percent: int, floor: float) -> Callable[[bytes, bytes], bool]:
+    """Payloads: eight bytes of the set's size, then the minima's lowest bytes."""
+
+    def test(x: bytes, y: bytes) -> bool:
+        m, n = int.from_bytes(x[:8], "big"), int.from_bytes(y[:8], "big")
+        if 100 * min(m, n) < percent * max(m, n):
+            return False
+        return (np.frombuffer(x, np.uint8, offset=8) == np.frombuffer(y, np.uint8, offset=8)).mean() >= floor
+
+    return test
+
+
 def _estimate_floor(percent: int, hashes: int) -> float:
     t = percent / 100
     return t - SIGMAS * (t * (1 - t) / hashes) ** 0.5
 
 
 def _cross_links(rows: DataFrame, percent: int) -> DataFrame:
-    """Links between different components in buckets (key, node, n, comp, keys, bytes, shingles, size).
+    """Links between different components in buckets (key, sub, node, n, comp, keys, bytes, data, size).
 
-    A bucket is cut into blocks by hash, and each pair of blocks is one small group. There, pairs of different components whose
+    A bucket of more than ``BLOCK`` nodes is cut into blocks by hash, and each pair of blocks is one small group. There, pairs of different components whose
     signatures may reach the threshold are compared on their full sets, in the first bucket that they share, until
     they hang together: a group yields fewer links than it has components, however many pairs it has.
     """
@@ -144,7 +180,7 @@ def _cross_links(rows: DataFrame, percent: int) -> DataFrame:
     floor = _estimate_floor(percent, bands * per)
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
-    columns = ("key", "node", "n", "comp", "keys", "bytes", "shingles")
+    columns = ("key", "sub", "node", "n", "comp", "keys", "bytes", "data")
     blocked = rows.select(*columns, n_blocks.alias("nb"), mine.alias("mine")).select(*columns, "mine", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
     blocked = blocked.select("*", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
@@ -154,7 +190,7 @@ def _cross_links(rows: DataFrame, percent: int) -> DataFrame:
         key = t.column("key")[0].as_py()
         keys = np.array(t.column("keys").to_pylist(), np.int64)
         sig = np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8).reshape(len(node), -1)
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("data").to_pylist()]
         at = int(np.flatnonzero((keys == key).any(axis=0))[0])
         own = np.unique(comp, return_inverse=True)[1]
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
@@ -179,66 +215,113 @@ def _cross_links(rows: DataFrame, percent: int) -> DataFrame:
                     own[own == own[z]] = own[x]
         return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
-    return blocked.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    return blocked.groupBy("key", "sub", "i", "j").applyInArrow(run, "a long, b long")
+
 
+def _by_rare_shingles(rows: DataFrame, percent: int) -> DataFrame:
+    """Buckets (key, node, comp, data, size) of many nodes as smaller ones by (key, sub), sub being a shingle.
 
-def _with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    return rows.join(comps.select("node", F.col("component").alias("c")), "node", "left").withColumn("comp", F.coalesce("c", "node")).drop("c")
+    Each node stands in those of its rarest shingles in the bucket, so many that the rest, without any of them, is less than the share ``percent``
+    of the node: two linked sets have one of them in common. Their number is linear in the sizes of the sets.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            sets = [np.frombuffer(x, np.int64) for x in b.column("data").to_pylist()]
+            n = np.array([len(x) for x in sets])
+            at = np.repeat(np.arange(len(sets)), n)
+            yield pa.record_batch([b.column("key").take(at), b.column("node").take(at), pa.array(n[at]), pa.array(np.concatenate(sets))], names=["key", "node", "n", "sub"])
+
+    each = written(rows.select("key", "node", "data").mapInArrow(spread, "key long, node long, n long, sub long"), "shingles", "none")
+    times = each.groupBy("key", "sub").agg(F.count("*").alias("times")).where("times > 1")
+    # shingles of one node only come first and need not be listed
+    shared = each.join(times, ["key", "sub"])
+    rank = F.row_number().over(Window.partitionBy("key", "node").orderBy("times", "sub")) + F.col("n") - F.count("*").over(Window.partitionBy("key", "node"))
+    listed = shared.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("key", "node", "sub")
+    listed = written(listed, "listed")
+    full = listed.join(rows.select("key", "node", "comp"), ["key", "node"]).groupBy("key", "sub").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return listed.join(full.where("lo <> hi").select("key", "sub", "size"), ["key", "sub"])
 
 
 def links(docs: DataFrame, classes: DataFrame, n_words: int, percent: int) -> DataFrame:
     """(a, b): links between classes' nodes, enough of them to connect all that linked pairs connect."""
+    spark = docs.sparkSession
     bands, per = bands_for(percent)
     floor = _estimate_floor(percent, bands * per)
     spread = classes.select(F.explode("keys").alias("key"), "node")
     full = spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = written(spread.join(full, "key"), "buckets")
+    buckets = written(join_sized(spread, full, "key", "size", bands * classes.count()), "buckets")
+    held = buckets.count()
     # the member whose buckets hold most company stands at the centre of its group
-    company = buckets.groupBy("node").agg(F.sum("size").alias("company"))
-    nodes = written(classes.join(company, "node"), "nodes")
-    chief = buckets.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("a"))
-    star = buckets.join(chief, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    sig = nodes.select("node", "bytes", F.col("n_shingles").alias("n"))
-    star = star.join(sig.toDF("b", "yb", "yn"), "b").join(sig.toDF("a", "xb", "xn"), "a")
-    star = star.where(F.lit(100) * F.least("xn", "yn") >= F.lit(percent) * F.greatest("xn", "yn"))
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("xb", "yb"))
-                yield b.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= floor))
-
-    first = written(star.select("a", "b", "xb", "yb").mapInArrow(agree, "a long, b long"), "pairs")
-    found = _linked(first, docs, n_words, percent)
+    company = written(buckets.groupBy("node").agg(F.sum("size").alias("company")), "company")
+    nodes = written(classes.join(company.select("node"), "node").select("node", "first_doc", "digest", "keys", "bytes", F.col("n_shingles").alias("n")), "nodes")
+    chief = buckets.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("a"), F.count("*").alias("size"))
+    star = join_sized(buckets.select("key", F.col("node").alias("b")), written(chief, "chief"), "key", "size", held).where("a <> b")
+    signatures = nodes.select("node", F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), "bytes").alias("data"))
+    first = _verified(star, signatures, _same_signatures(percent, floor))
+    asked = first.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_doc", "digest"), "node")
+    sets = written(_sets(docs, written(asked, "asked"), n_words), "sets", "none")
+    found = _verified(first, sets, _same_sets(percent))
+    drop_written(spark, sets)
     comps = written(components(found), "components")
 
-    held = _with_components(buckets, comps)
-    mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rows = held.join(mixed, "key").join(nodes.select("node", F.col("n_shingles").alias("n"), "keys", "bytes"), "node")
-    rows = written(rows, "mixed")
-    sets = written(_sets(docs, rows.select("node").distinct(), n_words), "sets", "none")
-    return found.unionByName(written(_cross_links(rows.join(sets, "node"), percent).distinct(), "links"))
+    own = written(nodes.join(comps, "node", "left").select("node", "first_doc", "digest", "n", "keys", "bytes", F.coalesce("component", "node").alias("comp")), "own")
+    within = buckets.join(own.select("node", "comp"), "node")
+    mixed = written(within.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size"), "mixed")
+    placed = written(join_sized(within.select("key", "node", "comp"), mixed, "key", "size", held), "placed")
+    sets = written(_sets(docs, written(placed.select("node").distinct().join(own, "node").select("node", "first_doc", "digest"), "asked"), n_words), "sets", "none")
+    rest = own.select("node", "n", "keys", "bytes").join(sets, "node")
+    small = placed.where(F.col("size") <= BLOCK).select("key", F.lit(0).cast("long").alias("sub"), "node", "comp", "size")
+    if mixed.where(F.col("size") > BLOCK).isEmpty():
+        again = small
+    else:
+        large = written(placed.where(F.col("size") > BLOCK).join(sets, "node"), "large", "none")
+        again = small.unionByName(_by_rare_shingles(large, percent).join(own.select("node", "comp"), "node").select("key", "sub", "node", "comp", "size"))
+    out = found.unionByName(written(_cross_links(again.join(rest, "node"), percent).distinct(), "links"))
+    drop_written(spark, sets, placed, own, mixed, comps, buckets, company, nodes)
+    return out
 
 
-def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (smallest doc_id reachable, itself included), kept (doc_id = component_id).
 
     Documents whose shingle sets have 100 x intersection >= ``percent`` x union are linked. Texts without words
     have an empty set and link with nothing; shorter texts than ``n_words`` words have one shingle. Rows that
-    share a doc_id stand for one document, linked by it; a row without doc_id has no component and is kept.
-    Only doc_id and text are read.
+    share a doc_id stand for one document, linked by it whatever their texts; a row without doc_id has no component and is kept.
+    Only doc_id and text are read, texts of any length whole; other columns play no part. ``keep`` names columns of ``docs`` to return as well.
     """
-    docs = docs.select("doc_id", "text")
-    sketch = written(sketches(docs, n_words, percent), "sketches")
-    known = sketch.where(F.col("doc_id").isNotNull())
-    sets = known.where(F.col("digest").isNotNull())
-    classes = written(
-        sets.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("bytes").alias("bytes")),
-        "classes",
+    ids = docs.select("doc_id", "text")
+    sketch = written(sketches(docs, n_words, percent, keep), "sketches")
+    total = sketch.count()
+    sets = sketch.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
+    classes = sets.groupBy("digest").agg(
+        F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("bytes").alias("bytes")
     )
-    linked = links(docs, classes.dropDuplicates(["node"]), n_words, percent)
-    copies = sets.join(classes.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
-    found = components(linked.select("a", "b").unionByName(copies))
-    out = sketch.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    own = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    # the numbers stand once the table is written
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    linked = links(ids, classes, n_words, percent).select("a", "b")
+    # ids with several texts link these
+    h = F.coalesce(F.xxhash64("digest"), F.lit(0))
+    several = sketch.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi"), F.count("digest").alias("size")).where("lo <> hi")
+    several = written(several.select("doc_id", "size"), "several")
+    repeated = not several.isEmpty()
+    if repeated:
+        texts = written(join_sized(sets.select("doc_id", "digest"), several, "doc_id", "size", total).distinct(), "texts")
+        shared = written(texts.join(classes.select("digest", "node"), "digest").select("doc_id", "node"), "shared")
+        centre = written(shared.groupBy("doc_id").agg(F.min("node").alias("a"), F.count("*").alias("size")), "centre")
+        linked = linked.unionByName(join_sized(shared, centre, "doc_id", "size", total).select("a", F.col("node").alias("b")))
+    found = written(components(linked), "components")
+    placed = written(classes.join(found, "node", "left").select("digest", "copies", "first_doc", F.coalesce("component", "node").alias("component")), "placed")
+    least = written(placed.groupBy("component").agg(F.min("first_doc").alias("component_id"), F.count("*").alias("size")), "least")
+    known = written(join_sized(placed, least, "component", "size", total).select("digest", "copies", "component_id"), "known")
+    columns = ("doc_id", "n_shingles", *keep)
+    out = join_sized(sets.select(*columns, "digest"), known, "digest", "copies", total).select(*columns, "component_id")
+    empty = sketch.where("doc_id IS NOT NULL AND digest IS NULL").select(*columns)
+    if repeated:  # an empty text goes with the others of its id
+        of_id = texts.join(known, "digest").groupBy("doc_id").agg(F.min("component_id").alias("c"))
+        empty = empty.join(of_id, "doc_id", "left").select(*columns, F.coalesce("c", "doc_id").alias("component_id"))
+    else:
+        empty = empty.withColumn("component_id", F.col("doc_id"))
+    nameless = sketch.where("doc_id IS NULL").select(*columns, F.lit(None).cast("long").alias("component_id"))
+    out = out.unionByName(empty).unionByName(nameless)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), *keep)

@@ -16,8 +16,10 @@ import regex
 
 OTHER, LETTER, NUMBER, BLANK, SPACE, END = range(6)
 SEP = 0x110000
-#: Texts are encoded in groups of about so many characters; a longer text is a group of its own.
+#: Texts are split and looked up in groups of about so many characters, and longer texts are cut to this length.
 GROUP_CHARS = 1 << 18
+#: New pieces are gathered over about so many characters, then encoded together.
+LEARN_CHARS = 1 << 21
 #: Distinct pieces that are held at once; beyond it the table starts anew.
 MAX_PIECES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -191,17 +193,71 @@ class PieceTable:
         return ids.astype(np.uint32), np.diff(np.append(0, np.append(0, np.cumsum(n))[np.searchsorted(start, ends)]))
 
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For consecutive groups of texts: all their ids, and the number of ids of each text."""
-        group: list[str] = []
-        size = 0
-        for t in texts:
-            if group and size + len(t) > GROUP_CHARS:
-                yield self._group(group)
-                group, size = [], 0
-            group.append(t)
-            size += len(t)
-        if group:
-            yield self._group(group)
+        """For consecutive groups of texts: all their ids, and the number of ids of each text.
+
+        A long text is cut before white space that follows another character, where a piece always starts.
+        """
+        for run in _groups(texts, LEARN_CHARS):
+            parts = [(k, p) for k, t in enumerate(run) for p in _cut_text(t)]
+            groups = list(_groups(parts, GROUP_CHARS, lambda x: len(x[1])))
+            if len(groups) > 1:
+                self._learn_all([[p for _, p in g] for g in groups])
+            ids, counts = [], np.zeros(len(run), np.int64)
+            for g in groups:
+                found, n = self._group([p for _, p in g])
+                ids.append(found)
+                np.add.at(counts, [k for k, _ in g], n)
+            yield np.concatenate(ids), counts
+
+    def _learn_all(self, groups: list[list[str]]) -> None:
+        """Encode what the table misses of all groups in one call; what doesn't fit is left to each group."""
+        spans, hashes = [], []
+        for g in groups:
+            cps, _ = code_points(g)
+            start, end = split(cps)
+            if len(start):
+                h = self._hash(cps, start, end)
+                miss = np.flatnonzero(self._find(h) < 0)
+                _, at = np.unique(h[miss], return_index=True)
+                at = miss[at]
+                length = end[at] - start[at]
+                spans.append((_spans(cps, start[at], length), length))
+                hashes.append(h[at])
+        if not hashes:
+            return
+        cps, length = np.concatenate([x for x, _ in spans]), np.concatenate([x for _, x in spans])
+        h, at = np.unique(np.concatenate(hashes), return_index=True)
+        start = (np.cumsum(length) - length)[at]
+        if len(h) > self.limit:
+            return
+        if self.n + len(h) > self.limit:
+            self._clear()
+        if len(h):
+            self._learn(cps, start, start + length[at], h)
+
+
+_CUT = regex.compile(r"(?<=\S)\s")
+
+
+def _cut_text(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > GROUP_CHARS and (m := _CUT.search(text, at + GROUP_CHARS)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
+def _groups(xs: list, chars: int, size: Callable = len) -> Iterator[list]:
+    group: list = []
+    total = 0
+    for x in xs:
+        if group and total + size(x) > chars:
+            yield group
+            group, total = [], 0
+        group.append(x)
+        total += size(x)
+    if group:
+        yield group
 
 
 def _spans(values: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:

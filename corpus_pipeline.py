@@ -11,22 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cordon.llm import bpe, decontaminate, near_dedup, quality
-from cordon.llm.common import ship, table, written
+from cordon.llm.common import join_sized, ship, table, written
 
-#: Ids up to which a list of dropped documents is broadcast; counted first.
-BROADCAST_IDS = 2_000_000
+#: Rows up to which a list of dropped rows is broadcast; counted first.
+BROADCAST_ROWS = 2_000_000
+ROW = "__row"
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is listed; rows without an id stay."""
-    listed = written(ids.select("doc_id").distinct(), "dropped")
-    if listed.count() <= BROADCAST_IDS:
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, as a written table: null and repeated ids are judged by their own rows' texts."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``rows`` without those whose number is listed, and without the number."""
+    listed = written(dropped.select(ROW).distinct(), "dropped")
+    if listed.count() <= BROADCAST_ROWS:
         listed = F.broadcast(listed)
-    return docs.join(listed, "doc_id", "left_anti").select(*docs.columns)
+    return rows.join(listed, ROW, "left_anti").drop(ROW)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones, accepts."""
+    """Rows that the classifier, fitted on the labelled ones, accepts; each by its own text, repeated rows alike, null as the empty text."""
     ship(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     names = [f"c{k}" for k in range(len(docs.columns))]
@@ -35,20 +41,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8): the one of smallest doc_id; of rows that repeat an id, one."""
+    """One row of each group of near duplicates (five words, 0.8): that of smallest doc_id, ties by place, one without id last; empty texts stay."""
     ship(spark)
-    found = near_dedup.near_duplicates(docs)
-    out = _without(docs, found.where(~F.col("kept")))
-    many = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not many.isEmpty():
-        again = written(many, "repeated")
-        out = _without(out, again).unionByName(out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
-    return out
+    rows = _numbered(docs)
+    found = near_dedup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text", F.col("doc_id").alias("id")), keep=("id",))
+    found = written(found.select(F.col("doc_id").alias(ROW), "id", F.col("component_id").alias("c")), "groups")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", ROW)
+    best = found.groupBy("c").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1").select("c", F.col(f"best.{ROW}").alias("stays"), "n")
+    dropped = join_sized(found, best, "c", "n", found.count()).where(F.col(ROW) != F.col("stays"))
+    return _without(rows, dropped)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return _without(docs, decontaminate.find(docs, table(spark, sf_dir, "benchmark")))
+    """Rows that hold no benchmark item, each judged by its own text."""
+    rows = _numbered(docs)
+    found = decontaminate.find(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(rows, found.select(F.col("doc_id").alias(ROW)))
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

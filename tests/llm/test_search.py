@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cordon.llm import ann, decontaminate, license_scan, near_dedup, queries, shingles, url_filter
+from cordon.llm import ann, common, decontaminate, license_scan, near_dedup, queries, shingles, url_filter
 from cordon.llm.components import components
 
 from .conftest import SF, words
@@ -252,6 +252,43 @@ def test_near_dedup(spark, n, percent):
     assert {r.doc_id: r.n_shingles for r in got} == {i: len(s) for (i, _), s in zip(rows, shingles.shingle_sets(texts, n), strict=True)}
 
 
+def test_repeated_ids_with_other_texts(spark):
+    """An id links all its texts, whichever of them is near to what; an empty one goes with the others."""
+    rng = random.Random(12)
+    a, b = words(rng, 60), words(rng, 60)
+    near = lambda t: " ".join(["changed", *t.split()[1:]])
+    rows = [(5, a), (5, b), (9, near(b)), (11, near(a)), (11, ""), (3, words(rng, 60)), (20, words(rng, 50)), (20, words(rng, 50)), (20, None), (21, ""), (21, "")]
+    for k in range(3):
+        rng.shuffle(rows)
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(k + 1), 3, 85).collect()
+        assert len(got) == len(rows)
+        assert {(r.doc_id, r.component_id) for r in got} == {(5, 5), (9, 5), (11, 5), (3, 3), (20, 20), (21, 21)}
+
+
+@pytest.mark.parametrize("block", [8, 40])
+def test_large_buckets_of_unlike_texts(spark, monkeypatch, block):
+    """Texts that share two thirds of their words and so many buckets, few of them linked: searched by rare shingles and in blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(block)
+    base = words(rng, 100)
+    texts = [f"{base} {words(rng, 25)}" for _ in range(100)]
+    texts += [" ".join([*t.split()[:-2], "other", "end"]) for t in texts[::3]]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, ("text",)).collect()
+    want = brute_components(rows, 3, 85)
+    assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) == 100
+    assert {r.doc_id: r.text for r in got} == dict(rows)
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = spark.createDataFrame([(k % 3 if k < 90 else k, k) for k in range(100)], "key long, v long")
+    side = rows.groupBy("key").count().where("key <> 1").withColumn("w", F.col("key") * 2)
+    got = common.join_sized(rows, side, "key", "count", 100)
+    assert sorted((r.key, r.v, r.w) for r in got.collect()) == sorted((r.key, r.v, 2 * r.key) for r in rows.collect() if r.key != 1)
+
+
 def test_near_dedup_odd(odd_docs, no_docs):
     got = near_dedup.near_duplicates(odd_docs, 3, 85).collect()
     assert len(got) == 14

@@ -60,11 +60,25 @@ def test_encode_then_decode(odd_docs, odd_texts):
 
 
 def test_long_pieces_equal_the_library(reference):
-    duck, _ = bpe.worker(RANKS)
     rng = random.Random(8)
-    texts = ["a" * 900, "ab" * 300, "".join(rng.choice("etaoin") for _ in range(700))]
-    ids, n = duck.encode(texts)
-    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [reference._encode_single_piece(t) for t in texts]
+    texts = ["a" * 900, "ab" * 300, "".join(rng.choice("etaoin") for _ in range(700)), "\u00e9\u4e2d" * 200, "the" * 500 + "hen" * 300, "x" * 300_000, "".join(rng.choice("ab") for _ in range(100_000))]
+    texts += ["".join(rng.choice("etaoinshrdlucmfwypvbgkqjxz") for _ in range(n)) for n in (257, 400, 5000)]
+    with bpe.worker(RANKS) as (duck, _):
+        ids, n = duck.encode(texts)
+    for got, t in zip(np.split(ids, np.cumsum(n)[:-1]), texts, strict=True):
+        # the library's own time is quadratic in one letter's run
+        assert got.tolist() == reference._encode_single_piece(t) if len(t) < 200_000 else reference.decode(got.tolist()) == t
+
+
+def test_one_very_long_document(spark, reference):
+    """Encoded and decoded in parts, with the result of the whole: 7 MB, over 3 million tokens."""
+    rng = random.Random(9)
+    some = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(1, 8))) for _ in range(2000)]
+    text = "".join(rng.choice((" ", "  ", "\n", " '")) + rng.choice(some) for _ in range(1_200_000))
+    ids = reference.encode_ordinary(text)
+    got = bpe.round_trip(spark.createDataFrame([(1, "a b"), (2, text), (3, "")], "doc_id long, text string").coalesce(1), RANKS).where("doc_id = 2").first()
+    assert len(ids) > 2_500_000 and got.n_tokens == len(ids)
+    assert got.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and got.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_empty_table(no_docs):
