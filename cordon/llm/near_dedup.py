@@ -27,8 +27,9 @@ MAX_HASHES = 128
 MISS = 1e-4
 #: Standard errors below the threshold at which the signature rules a pair out.
 SIGMAS = 4.5
-#: Nodes in a block of a bucket, and rows up to which a list of nodes is broadcast.
+#: Nodes in a block of a bucket, members that meet one row of their chief, and rows up to which a list of nodes is broadcast.
 BLOCK = 512
+MEMBERS = 64
 BROADCAST_NODES = 2_000_000
 
 
@@ -121,7 +122,7 @@ def _verified(pairs: DataFrame, payload: DataFrame, test: Callable[[bytes, bytes
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
     company = pairs.groupBy("a").agg(F.count("*").alias("size"))
     placed = written(
-        join_sized(pairs, company, "a", "size", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / BLOCK)).cast("int").alias("block")), "placed"
+        join_sized(pairs, company, "a", "size", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / MEMBERS)).cast("int").alias("block")), "placed"
     )
     members = placed.join(payload.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "data")
     heads = placed.select("a", "block").distinct().join(payload.withColumnRenamed("node", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "data")
@@ -191,7 +192,8 @@ def _cross_links(rows: DataFrame, percent: int) -> DataFrame:
         keys = np.array(t.column("keys").to_pylist(), np.int64)
         sig = np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8).reshape(len(node), -1)
         sets = [np.frombuffer(x, np.uint64) for x in t.column("data").to_pylist()]
-        at = int(np.flatnonzero((keys == key).any(axis=0))[0])
+        # a pair of a band's bucket is compared in the first one that it shares
+        at = int(np.append(np.flatnonzero((keys == key).any(axis=0)), 0)[0])
         own = np.unique(comp, return_inverse=True)[1]
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         a_out, b_out = [], []
@@ -219,10 +221,10 @@ def _cross_links(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _by_rare_shingles(rows: DataFrame, percent: int) -> DataFrame:
-    """Buckets (key, node, comp, data, size) of many nodes as smaller ones by (key, sub), sub being a shingle.
+    """Nodes of large buckets (node, comp, data) in smaller ones (sub, node, comp, size), sub being a shingle.
 
-    Each node stands in those of its rarest shingles in the bucket, so many that the rest, without any of them, is less than the share ``percent``
-    of the node: two linked sets have one of them in common. Their number is linear in the sizes of the sets.
+    Each node stands in those of its rarest shingles among these nodes, so many that the rest, without any of them, is less than the share ``percent``
+    of the node: two linked sets have one of them in common. Their number is linear in the sizes of the sets, however many large buckets a node is in.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,17 +232,18 @@ def _by_rare_shingles(rows: DataFrame, percent: int) -> DataFrame:
             sets = [np.frombuffer(x, np.int64) for x in b.column("data").to_pylist()]
             n = np.array([len(x) for x in sets])
             at = np.repeat(np.arange(len(sets)), n)
-            yield pa.record_batch([b.column("key").take(at), b.column("node").take(at), pa.array(n[at]), pa.array(np.concatenate(sets))], names=["key", "node", "n", "sub"])
-
-    each = written(rows.select("key", "node", "data").mapInArrow(spread, "key long, node long, n long, sub long"), "shingles", "none")
-    times = each.groupBy("key", "sub").agg(F.count("*").alias("times")).where("times > 1")
-    # shingles of one node only come first and need not be listed
-    shared = each.join(times, ["key", "sub"])
-    rank = F.row_number().over(Window.partitionBy("key", "node").orderBy("times", "sub")) + F.col("n") - F.count("*").over(Window.partitionBy("key", "node"))
-    listed = shared.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("key", "node", "sub")
+            yield pa.record_batch([b.column("node").take(at), b.column("comp").take(at), pa.array(n[at]), pa.array(np.concatenate(sets))], names=["node", "comp", "n", "sub"])
+
+    each = written(rows.select("node", "comp", "data").mapInArrow(spread, "node long, comp long, n long, sub long"), "shingles", "none")
+    # shingles of one component only come first in the order and need not be listed
+    times = each.groupBy("sub").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sub", "size")
+    shared = join_sized(each, times, "sub", "size", each.count())
+    own = Window.partitionBy("node")
+    rank = F.row_number().over(own.orderBy("size", "sub")) + F.col("n") - F.count("*").over(own)
+    listed = shared.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("sub", "node", "comp")
     listed = written(listed, "listed")
-    full = listed.join(rows.select("key", "node", "comp"), ["key", "node"]).groupBy("key", "sub").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    return listed.join(full.where("lo <> hi").select("key", "sub", "size"), ["key", "sub"])
+    full = listed.groupBy("sub").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sub", "size")
+    return join_sized(listed, full, "sub", "size", listed.count())
 
 
 def links(docs: DataFrame, classes: DataFrame, n_words: int, percent: int) -> DataFrame:
@@ -275,8 +278,8 @@ def links(docs: DataFrame, classes: DataFrame, n_words: int, percent: int) -> Da
     if mixed.where(F.col("size") > BLOCK).isEmpty():
         again = small
     else:
-        large = written(placed.where(F.col("size") > BLOCK).join(sets, "node"), "large", "none")
-        again = small.unionByName(_by_rare_shingles(large, percent).join(own.select("node", "comp"), "node").select("key", "sub", "node", "comp", "size"))
+        large = placed.where(F.col("size") > BLOCK).select("node", "comp").distinct()
+        again = small.unionByName(_by_rare_shingles(large.join(sets, "node"), percent).select(F.lit(0).cast("long").alias("key"), "sub", "node", "comp", "size"))
     out = found.unionByName(written(_cross_links(again.join(rest, "node"), percent).distinct(), "links"))
     drop_written(spark, sets, placed, own, mixed, comps, buckets, company, nodes)
     return out
