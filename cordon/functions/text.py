@@ -89,12 +89,12 @@ def english_list(xs: Column) -> Column:
     )
 
 
-def purl(module: Column, version: Column) -> Column:
-    """A package URL: the module escaped as one path segment."""
+def purl(kind: str, module: Column, version: Column) -> Column:
+    """A package URL of a type: the module escaped as one path segment."""
     escaped = F.url_encode(text(module))
     for a, b in (("+", "%20"), ("%24", "$"), ("%26", "&"), ("%2B", "+"), ("%3D", "="), ("%3A", ":"), ("%40", "@"), ("%7E", "~"), ("*", "%2A")):
         escaped = F.replace(escaped, F.lit(a), F.lit(b))
-    return F.concat(F.lit("pkg:golang/"), escaped, F.when(text(version) == "", "").otherwise(F.concat(F.lit("@"), version)))
+    return F.concat(F.lit(f"pkg:{kind}/"), escaped, F.when(text(version) == "", "").otherwise(F.concat(F.lit("@"), version)))
 
 
 def level_of(frame: Column) -> Column:
@@ -116,6 +116,7 @@ def result_message(level: Column, elements: Column, scan_level: str) -> Column:
     n = F.size(elements)
     many = F.when(n == 1, "").otherwise("s")
     listed = F.concat(F.lit(" ("), english_list(elements), F.lit(")"))
+    # fixed values: the texts of messages
     advice = ". Run the call-level analysis to understand whether your code actually calls the vulnerabilities."
     imports = ", but doesn’t appear to call any of the vulnerable symbols." if scan_level == "symbol" else advice
     verb = "call" if scan_level == "symbol" else "import"

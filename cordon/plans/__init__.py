@@ -279,14 +279,14 @@ def q_sarif_message(v: Views) -> DataFrame:
 SELECT osv, CASE WHEN max(level) = 3 THEN 'affected' ELSE 'not_affected' END AS status,
   CASE max(level) WHEN 3 THEN '' WHEN 2 THEN 'vulnerable_code_not_in_execute_path' ELSE 'vulnerable_code_not_present' END AS justification FROM {u_finding} GROUP BY osv""")
 def q_vex_status(v: Views) -> DataFrame:
-    s = documents.vex_statements(v.entries(), v.findings(), "symbol")
+    s = documents.vex_statements(v.entries(), v.findings(), "symbol", "generic")
     return s.select(F.col("id").alias("osv"), "status", F.coalesce("justification", F.lit("")).alias("justification"))
 
 
 @query("""
-SELECT path, 'pkg:golang/' || replace(path, '/', '%2F') || CASE WHEN version = '' THEN '' ELSE '@' || version END AS purl FROM {u_module}""")
+SELECT path, 'pkg:generic/' || replace(path, '/', '%2F') || CASE WHEN version = '' THEN '' ELSE '@' || version END AS purl FROM {u_module}""")
 def q_purl(v: Views) -> DataFrame:
-    return v["u_module"].select("path", T.purl(F.col("path"), F.col("version")).alias("purl"))
+    return v["u_module"].select("path", T.purl("generic", F.col("path"), F.col("version")).alias("purl"))
 
 
 _TRACE = "(SELECT n, [x % 3 for x in [n, n // 3, n // 9, n // 27]] AS m FROM (SELECT n FROM {u_finding}))"

@@ -76,20 +76,20 @@ def sarif(entries: DataFrame, findings: DataFrame, scan_level: str, tool: str =
     return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [run]}, indent=2, ensure_ascii=False)
 
 
-def vex_statements(entries: DataFrame, findings: DataFrame, scan_level: str) -> DataFrame:
+def vex_statements(entries: DataFrame, findings: DataFrame, scan_level: str, purl_type: str) -> DataFrame:
     """A statement for each entry that has findings: (id, aliases, description, subcomponents, status, justification)."""
     best = most_specific(findings)
-    each = best.groupBy("osv", "level").agg(F.array_sort(F.collect_set(T.purl(top()["module"], top()["version"]))).alias("subcomponents"))
+    each = best.groupBy("osv", "level").agg(F.array_sort(F.collect_set(T.purl(purl_type, top()["module"], top()["version"]))).alias("subcomponents"))
     s = T.exchange_status(F.col("level"), scan_level)
     rows = each.select("osv", "subcomponents", s["status"].alias("status"), s["justification"].alias("justification"))
     e = entries.select(F.col("id").alias("osv"), "aliases", T.description(F.col("summary"), F.col("details")).alias("description"))
     return rows.join(e, "osv", "left").select(F.col("osv").alias("id"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), text(F.col("description")).alias("description"), "subcomponents", "status", "justification")
 
 
-def open_vex(entries: DataFrame, findings: DataFrame, scan_level: str, author: str, timestamp: str, tool: str = "cordon") -> str:
+def open_vex(entries: DataFrame, findings: DataFrame, scan_level: str, purl_type: str, author: str, timestamp: str, tool: str = "cordon") -> str:
     """The document of one scan; its id is the digest of its content without the time."""
     statements = []
-    for r in vex_statements(entries, findings, scan_level).orderBy("id").collect():
+    for r in vex_statements(entries, findings, scan_level, purl_type).orderBy("id").collect():
         s = {
             "vulnerability": {"name": r["id"], "description": r["description"], "aliases": r["aliases"]},
             "products": [{"@id": "Unknown Product", "subcomponents": [{"@id": x} for x in r["subcomponents"]]}],

@@ -59,7 +59,7 @@ def test_texts(spark):
     assert one(spark, trace[:1], T.compact_line) == "lib.T.Do"
     assert one(spark, [frame("m", "p/a", "A"), frame("m", "p/b", "B")], T.compact_line) == "b.B calls a.A"
     df = spark.createDataFrame([("a.org/x y/+*é", "v1"), ("m", "")], "m string, v string")
-    assert [r[0] for r in df.select(T.purl(F.col("m"), F.col("v"))).collect()] == ["pkg:golang/a.org%2Fx%20y%2F+%2A%C3%A9@v1", "pkg:golang/m"]
+    assert [r[0] for r in df.select(T.purl("generic", F.col("m"), F.col("v"))).collect()] == ["pkg:generic/a.org%2Fx%20y%2F+%2A%C3%A9@v1", "pkg:generic/m"]
     df = spark.createDataFrame([(["a"],), (["a", "b"],), (["a", "b", "c"],), ([],)], "x array<string>")
     assert [r[0] for r in df.select(T.english_list(F.col("x"))).collect()] == ["a", "a and b", "a, b, and c", ""]
     df = spark.createDataFrame([("a@b@v1.0.0",), ("a@",), ("@v1.0.0",), ("a@x",)], "p string")
@@ -90,8 +90,8 @@ def test_documents(spark):
     assert [results[k]["level"] for k in ("V-1", "V-2", "V-3")] == ["error", "warning", "note"]
     assert results["V-1"]["message"]["text"] == "Your code calls vulnerable functions in 1 package (dep.org/p)."
     assert [r["id"] for r in sarif["runs"][0]["tool"]["driver"]["rules"]] == ["V-1", "V-2"]
-    vex = documents.open_vex(e, f, "symbol", "someone", "2024-01-01T00:00:00Z")
-    again = documents.open_vex(e, f, "symbol", "someone", "2025-01-01T00:00:00Z")
+    vex = documents.open_vex(e, f, "symbol", "generic", "someone", "2024-01-01T00:00:00Z")
+    again = documents.open_vex(e, f, "symbol", "generic", "someone", "2025-01-01T00:00:00Z")
     assert json.loads(vex)["@id"] == json.loads(again)["@id"]
     assert [x["status"] for x in json.loads(vex)["statements"]] == ["affected", "not_affected", "not_affected"]
     lines = [json.loads(r.json) for r in documents.messages(entries=e, findings=f).collect()]
