@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranges, semver
 from ..schema import text
+from ..tables import written
 
 
 def current(withdrawn: Column, now: Column) -> Column:
@@ -87,7 +88,7 @@ def targets(matched: DataFrame) -> DataFrame:
 
 def for_packages(packages: DataFrame, matched: DataFrame) -> DataFrame:
     """``packages`` (path, package) with the entries that match them, each once: (path, package, osv)."""
-    t = targets(matched).select("path", "osv", F.col("package").alias("target")).distinct()
+    t = written(targets(matched).select("path", "osv", F.col("package").alias("target")).distinct(), "targets")
     named = packages.join(t.where("target IS NOT NULL"), (packages["path"] == t["path"]) & (packages["package"] == F.col("target"))).select(packages["path"], "package", "osv")
     whole = packages.join(t.where("target IS NULL"), "path").select("path", "package", "osv")
     return named.unionByName(whole).distinct()
@@ -95,7 +96,7 @@ def for_packages(packages: DataFrame, matched: DataFrame) -> DataFrame:
 
 def for_symbols(symbols: DataFrame, matched: DataFrame) -> DataFrame:
     """``symbols`` (path, package, symbol) with the entries that match them: (path, package, symbol, osv)."""
-    t = targets(matched).toDF("t_path", "osv", "t_package", "t_symbol").distinct()
+    t = written(targets(matched).toDF("t_path", "osv", "t_package", "t_symbol").distinct(), "targets")
     out = ["path", "package", "symbol", "osv"]
     same = (F.col("path") == F.col("t_path")) & (F.col("package") == F.col("t_package"))
     exact = symbols.join(t.where("t_symbol IS NOT NULL"), same & (F.col("symbol") == F.col("t_symbol"))).select(*out)

@@ -42,24 +42,26 @@ def resolve(packages: DataFrame, modules: DataFrame, raw_prefix: bool = False) -
 
 
 def bill_of_materials(modules: DataFrame, roots: DataFrame) -> DataFrame:
-    """One row (go_version, modules, roots): root modules first, then the others, each by path; replacements applied.
+    """A row (scan, go_version, modules, roots) for each scan: root modules first, then the others, each by path; replacements applied.
 
-    ``modules``: path, version, replace; ``roots``: package, module of the packages that were asked for.
+    ``modules``: scan, path, version, replace; ``roots``: scan, package, module of the packages that were asked for. A list is as long as one
+    scan's program.
     """
-    top = roots.select(F.col("module").alias("root")).distinct()
+    top = roots.select("scan", F.col("module").alias("path"), F.lit(True).alias("root")).distinct()
     r = F.col("replace")
-    rows = modules.join(top, F.col("path") == F.col("root"), "left").select(
+    rows = modules.join(top, ["scan", "path"], "left").select(
+        "scan",
         F.col("root").isNull().alias("later"),
         F.when(r.isNotNull(), r["path"]).otherwise(F.col("path")).alias("path"),
         F.when(r.isNotNull(), text(r["version"])).otherwise(text(F.col("version"))).alias("version"),
         (F.col("path") == STDLIB).alias("std"),
     )
-    listed = rows.agg(
+    listed = rows.groupBy("scan").agg(
         F.max(F.when(F.col("std"), semver.to_tag(F.col("version")))).alias("go_version"),
         F.transform(F.array_sort(F.collect_list(F.struct("later", "path", "version"))), lambda m: F.struct(m["path"].alias("path"), m["version"].alias("version"))).alias("modules"),
     )
-    named = roots.agg(F.array_sort(F.collect_set("package")).alias("roots"))
-    return listed.join(F.broadcast(named), F.lit(True), "left").select(text(F.col("go_version")).alias("go_version"), "modules", "roots")
+    named = roots.groupBy("scan").agg(F.array_sort(F.collect_set("package")).alias("roots"))
+    return listed.join(named, "scan", "left").select("scan", text(F.col("go_version")).alias("go_version"), "modules", F.coalesce("roots", F.array().cast("array<string>")).alias("roots"))
 
 
 def binary_bill(binary: DataFrame) -> DataFrame:

@@ -45,10 +45,10 @@ def _affecting(v: Views) -> DataFrame:
 
 @query(f"""
 SELECT m.path, CASE WHEN m.ok = 1 THEN m.version ELSE '' END AS version, o.id
-FROM {{u_module}} m JOIN {{u_fix}} f ON m.p = f.p JOIN {{u_osv}} o ON o.s = f.s WHERE m.p % 3 = 0 AND (m.ok = 0 OR {_HIT})""")
+FROM {{u_module}} m JOIN {{u_fix}} f ON m.p = f.p JOIN {{u_osv}} o ON o.s = f.s WHERE m.ok = 0 OR {_HIT}""")
 def q_by_modules(v: Views) -> DataFrame:
     entries = v.entries()
-    requests = v["u_module"].where("p % 3 = 0").select(F.col("p").alias("ordinal"), "path", F.when(F.col("ok") == 1, F.col("version")).otherwise("").alias("version"))
+    requests = v["u_module"].select(F.col("p").alias("ordinal"), "path", F.when(F.col("ok") == 1, F.col("version")).otherwise("").alias("version"))
     return advisories.by_modules(requests, advisories.build_index(entries), entries).select("path", "version", "id")
 
 
@@ -121,13 +121,13 @@ def q_symbol_semi(v: Views) -> DataFrame:
 @query("""
 SELECT k.package, coalesce(max(m.path) FILTER (WHERE starts_with(k.package || '/', m.path || '/')), 'unknown-module') AS module,
   coalesce(arg_max(m.path, length(m.path)), 'unknown-module') AS raw_module
-FROM (SELECT path || '/a/b' AS package FROM {u_module} WHERE p % 5 = 0 UNION SELECT 'other.org/x' || CAST(p AS STRING) FROM {u_module} WHERE p % 50 = 0
-      UNION SELECT path || '0' FROM {u_module} WHERE p % 10 = 1) k
+FROM (SELECT path || '/a/b' AS package FROM {u_module} UNION SELECT 'other.org/x' || CAST(p AS STRING) FROM {u_module}
+      UNION SELECT path || '0' FROM {u_module}) k
 LEFT JOIN (SELECT path FROM {u_module} WHERE p % 2 = 0 OR p % 5 = 0) m ON starts_with(k.package, m.path) GROUP BY k.package""")
 def q_longest_prefix(v: Views) -> DataFrame:
     packages = v.sql("""
-      SELECT path || '/a/b' AS package FROM {u_module} WHERE p % 5 = 0 UNION SELECT 'other.org/x' || CAST(p AS STRING) FROM {u_module} WHERE p % 50 = 0
-      UNION SELECT path || '0' FROM {u_module} WHERE p % 10 = 1""")
+      SELECT path || '/a/b' AS package FROM {u_module} UNION SELECT 'other.org/x' || CAST(p AS STRING) FROM {u_module}
+      UNION SELECT path || '0' FROM {u_module}""")
     known = v["u_module"].where("p % 2 = 0 OR p % 5 = 0").select("path")
     raw = modules.resolve(packages, known, raw_prefix=True).withColumnRenamed("module", "raw_module")
     return modules.resolve(packages, known).join(raw, "package")
@@ -242,19 +242,19 @@ def q_index_build(v: Views) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT path, version, p FROM {u_module} WHERE p <= 60)
-SELECT 'go1.21.0' AS go_version, (SELECT string_agg(path || '@' || version, ' ' ORDER BY later, path) FROM (SELECT p % 30 <> 0 AS later,
-    CASE WHEN p % 37 = 0 THEN path || '/r' ELSE path END AS path, version FROM m UNION ALL SELECT true, 'stdlib', 'v1.21.0')) AS modules,
-  (SELECT string_agg(path || '/cmd', ' ' ORDER BY path || '/cmd') FROM m WHERE p % 30 = 0) AS roots""")
+WITH m AS (SELECT path, version, p, p % 20 AS scan FROM {u_module}), l AS (SELECT scan, p % 60 >= 20 AS later, CASE WHEN p % 37 = 0 THEN path || '/r' ELSE path END AS path, version FROM m
+  UNION ALL SELECT DISTINCT scan, true, 'stdlib', 'v1.21.0' FROM m)
+SELECT scan, 'go1.21.0' AS go_version, string_agg(path || '@' || version, ' ' ORDER BY later, path, version) AS modules,
+  coalesce((SELECT string_agg(path || '/cmd', ' ' ORDER BY path || '/cmd') FROM m WHERE m.scan = l.scan AND p % 60 < 20), '') AS roots FROM l GROUP BY scan""")
 def q_sbom(v: Views) -> DataFrame:
-    own = v["u_module"].where("p <= 60")
+    own = v["u_module"].withColumn("scan", F.col("p") % 20)
     r = F.when(F.col("p") % 37 == 0, F.struct(F.concat("path", F.lit("/r")).alias("path"), F.col("version").alias("version")))
-    rows = own.select("path", "version", r.alias("replace"))
-    std = v.spark.sql("SELECT 'stdlib' AS path, 'v1.21.0' AS version, CAST(NULL AS struct<path: string, version: string>) AS replace")
-    roots = own.where("p % 30 = 0").select(F.concat("path", F.lit("/cmd")).alias("package"), F.col("path").alias("module"))
+    rows = own.select("scan", "path", "version", r.alias("replace"))
+    std = own.select("scan", F.lit("stdlib").alias("path"), F.lit("v1.21.0").alias("version"), F.lit(None).cast("struct<path: string, version: string>").alias("replace")).distinct()
+    roots = own.where("p % 60 < 20").select("scan", F.concat("path", F.lit("/cmd")).alias("package"), F.col("path").alias("module"))
     bill = modules.bill_of_materials(rows.unionByName(std), roots)
     named = F.transform("modules", lambda m: F.concat(m["path"], F.lit("@"), m["version"]))
-    return bill.select("go_version", F.array_join(named, " ").alias("modules"), F.array_join("roots", " ").alias("roots"))
+    return bill.select("scan", "go_version", F.array_join(named, " ").alias("modules"), F.array_join("roots", " ").alias("roots"))
 
 
 @query("""
@@ -341,8 +341,10 @@ def q_group_by_module(v: Views) -> DataFrame:
     return FI.by_module(v.findings())
 
 
-@query(f"SELECT path, version, osv, 'Found ' || osv AS note FROM {_MATCH} WHERE p % 3 = 0")
+@query(f"SELECT path, version, osv, 'Found ' || osv AS note FROM {_MATCH}")
 def q_module_findings(v: Views) -> DataFrame:
-    m = _affecting(v).join(v["u_module"].select(F.col("path").alias("k"), "p"), F.col("path") == F.col("k")).where("p % 3 = 0")
-    f = FI.module_findings(m.withColumn("fixed_version", F.lit("")))
+    f = FI.module_findings(_affecting(v).withColumn("fixed_version", F.lit("")))
     return f.where(FI.valid(F.col("osv"), F.col("trace"))).select(FI.top()["module"].alias("path"), FI.top()["version"].alias("version"), "osv", F.concat(F.lit("Found "), F.col("osv")).alias("note"))
+
+
+from . import scans  # noqa: E402, F401

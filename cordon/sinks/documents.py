@@ -57,6 +57,16 @@ def sarif_results(findings: DataFrame, scan_level: str, binary: bool = False) ->
     )
 
 
+def code_flows(findings: DataFrame, binary: bool = False) -> DataFrame:
+    """(ruleId, message, threadFlows) for each vulnerable function that is called: the compact traces of findings with the same top frame, entry first."""
+    called = most_specific(findings).where("level = 3")
+    # fixed value: the text of the message
+    said = F.concat(F.lit("A summarized code flow for vulnerable function "), T.document_symbol(top()))
+    flow = F.struct(_frames(T.compact(F.col("trace")), binary).alias("locations"))
+    each = called.select(F.col("osv").alias("ruleId"), said.alias("message"), top().alias("frame"), flow.alias("flow"))
+    return each.groupBy("ruleId", "message", "frame").agg(F.array_sort(F.collect_list("flow")).alias("threadFlows")).drop("frame")
+
+
 def sarif_rules(entries: DataFrame, findings: DataFrame) -> DataFrame:
     """A rule for each entry that has findings: id, text, help link, tags (aliases, or none)."""
     e = entries.join(findings.select(F.col("osv").alias("id")).distinct(), "id", "left_semi")
