@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -28,6 +29,12 @@ SAME_CLOSES = frozenset("li dt dd tr td th option p".split())
 #: An element that is closed implicitly is only looked for up to the nearest of these.
 BARRIER = frozenset("ul ol dl table article section div nav aside footer header main form body select".split())
 SPACE = re.compile(r"\s+")
+CONCEALED = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+
+
+def _unseen(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """An element that a browser doesn't show: by its kind, the ``hidden`` attribute, or its style."""
+    return tag in UNSEEN or any(n == "hidden" or (n == "aria-hidden" and v == "true") or (n == "style" and CONCEALED.search(v or "")) for n, v in attrs)
 
 
 class _Blocks(HTMLParser):
@@ -36,6 +43,7 @@ class _Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.unseen: list[bool] = []
         self.found: list[tuple[str, tuple[tuple[str, tuple[str, ...]], ...], int]] = []
         self.text: list[str] = []
         self.linked = self.hidden = self.links = 0
@@ -48,9 +56,9 @@ class _Blocks(HTMLParser):
 
     def _pop_to(self, k: int) -> None:
         for tag, _ in self.open[k:]:
-            self.hidden -= tag in UNSEEN
             self.links -= tag == "a"
-        del self.open[k:]
+        self.hidden -= sum(self.unseen[k:])
+        del self.open[k:], self.unseen[k:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -71,7 +79,8 @@ class _Blocks(HTMLParser):
                     break
         words = tuple(w for n, v in attrs if v and n in ("class", "id", "role") for w in re.findall(r"[a-z]+", v.lower()))
         self.open.append((tag, words))
-        self.hidden += tag in UNSEEN
+        self.unseen.append(_unseen(tag, attrs))
+        self.hidden += self.unseen[-1]
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -190,7 +199,7 @@ SIDEBARS = ("sidebar", "side", "widget", "related", "recommended", "popular", "t
 NOTICES = ("cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "paywall", "privacy")
 ADVERTS = ("ad", "ads", "advert", "advertisement", "sponsored", "sponsor", "promo", "banner", "outbrain", "taboola", "dfp")
 FORMS = ("newsletter", "subscribe", "signup", "login", "search", "share", "social", "contact", "form")
-COMMENTS = ("comment", "comments", "reply", "replies", "respond", "disqus", "discussion", "commentlist", "reader")
+COMMENTS = ("comment", "comments", "reply", "replies", "respond", "disqus", "discussion", "commentlist", "reader", "feedback", "responses", "opinions", "thread", "guestbook")
 ARTICLES = ("article", "content", "post", "entry", "story", "text", "body", "main", "page", "hentry")
 
 
@@ -209,7 +218,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[int]]]:
         return t + (pick((".", ".", "!", "?")) if chance(0.7) else "")
 
     def attr(words: tuple[str, ...], always: bool = False) -> str:
-        if not always and chance(0.3):
+        if not words or (not always and chance(0.3)):
             return ""
         return f' {pick(("class", "id", "class"))}="{pick(words)}{pick(("", "-" + word(), " " + word()))}"'
 
@@ -234,14 +243,15 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[int]]]:
     ]
 
     def article() -> tuple[str, list[int]]:
-        tag, words, must = pick((("article", ARTICLES, False), ("article", ARTICLES, False), ("main", ARTICLES, False), ("div", ARTICLES, True)))
+        tag, words, must = pick((("article", ARTICLES, False), ("article", ARTICLES, False), ("main", ARTICLES, False), ("div", ARTICLES, True), ("div", (), False)))
+        plain = not words and chance(0.5)  # an article of nothing but divisions
         inner, y = [f"<h1>{said(2, 12)}</h1>"] if chance(0.9) else [], []
         y += [1] * len(inner)
         for _ in range(int(rng.integers(1, 14))):
             kind = rng.random()
             k = 1
             if kind < 0.58:
-                inner.append(f"<p>{said(1, 80)}</p>")
+                inner.append(f"<div>{said(5, 80)}</div>" if plain else f"<p>{said(1, 80)}</p>")
             elif kind < 0.64:
                 inner.append(f"<p><b>{said(1, 30)}<br><p>{said(1, 40)}</p>")
                 k = 2
@@ -297,9 +307,18 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[int]]]:
 
 
 def fit(pages: Iterable[tuple[str, list[int]]] | None = None) -> Chain:
-    """Train on labelled pages (html, label of each block); the default ones are made by rule."""
+    """Train on labelled pages (html, label of each block); the default ones are made by rule, and trained on once in a process."""
+    return _fit_rules() if pages is None else _fit(pages)
+
+
+@cache
+def _fit_rules() -> Chain:
+    return _fit(labelled_pages())
+
+
+def _fit(pages: Iterable[tuple[str, list[int]]]) -> Chain:
     data = []
-    for html, y in pages or labelled_pages():
+    for html, y in pages:
         x = [features(b) for b in blocks(html)]
         if len(x) != len(y):
             raise ValueError("a label for each block is needed")

@@ -85,3 +85,12 @@ def test_pages_of_the_tables(spark, have_tables):
     for r in html_extract.extract(table(spark, SF, "pages"), model, ("page_id", "html")).collect():
         inner = re.sub(r"</?b>", "", r.html[r.html.index("<article>") : r.html.index("</article>")])
         assert r.text == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+
+
+def test_hidden_elements_plain_pages_and_reader_comments():
+    """Pages unlike the tables' template: divisions only, what browsers don't show, comments under another name."""
+    prose = "The committee met on Tuesday to talk about the budget of the coming year, and it was agreed that the roads should be mended before winter, as had been promised."
+    model = html_extract.fit()
+    assert html_extract.main_text(f"<html><body><div><div>{prose}</div><div>{prose}</div></div></body></html>", model) == f"{prose} {prose}"
+    junk = "<p hidden>secret</p><p style='display: none'>gone</p><p aria-hidden='true'>x</p><div class='feedback'><p>I like it, thanks for writing.</p></div>"
+    assert html_extract.main_text(f"<article><p>{prose}</p>{junk}</article>", model) == prose
