@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, written
 
-#: Rows up to which a side is broadcast; counted first.
+#: Shingles, and windows (with two more for each document), up to which a side is broadcast; counted first.
 BROADCAST_SHINGLES = 1_000_000
-BROADCAST_DOCS = 500_000
+BROADCAST_WINDOWS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -91,7 +91,9 @@ def find(docs: DataFrame, benchmark: DataFrame, n_words: int = 5, similarity: fl
     if windows is None:
         return spark.createDataFrame([], "doc_id long, item_id long, similarity double, word_at int, n_words int")
     by_doc = written(windows.groupBy("doc_id").agg(F.collect_set(F.struct("at", "len")).alias("windows")), "windows")
-    side = F.broadcast(by_doc) if by_doc.count() <= BROADCAST_DOCS else by_doc
+    # the size of what is sent: two integers for each window, one id for each document
+    size = by_doc.agg(F.sum(F.size("windows") + 2)).first()[0] or 0
+    side = F.broadcast(by_doc) if size <= BROADCAST_WINDOWS else by_doc
     # only documents that have windows are cut into words again
     cut = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(side, "doc_id").select("doc_id", words_of(F.col("text")).alias("w"), "windows")
     cut = cut.select("doc_id", F.explode(F.transform("windows", lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), F.slice(F.col("w"), x["at"] + 1, x["len"]).alias("ww")))).alias("x"), F.size("w").alias("words"))

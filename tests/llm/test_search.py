@@ -78,6 +78,29 @@ def test_license_notices_with_other_punctuation(spark):
     assert {(r.doc_id, r.license) for r in license_scan.scan(docs).collect()} == {(i, n) for i, (n, _) in enumerate(notices)}
 
 
+def test_license_scan_against_brute_force(spark):
+    """Every window of every template's length, without sketches; edits of one word in seven lie near the bound."""
+    rng = random.Random(18)
+    texts = []
+    for _ in range(120):
+        t = rng.choice([x for xs in license_scan.TEMPLATES.values() for x in xs]).split()
+        for _ in range(rng.randint(0, max(1, len(t) // 20))):
+            t[rng.randrange(len(t))] = words(rng, 1)
+        texts.append(f"{words(rng, rng.randint(0, 40))} {' '.join(t)} {words(rng, rng.randint(0, 40))}")
+    t = license_scan.Templates(license_scan.TEMPLATES, 5, 80)
+    want = set()
+    for i, s in enumerate(shingles.in_order([license_scan._plain(x) for x in texts], 5)):
+        for k, (own, n) in enumerate(zip(t.sets, t.words, strict=True)):
+            step = max(1, n - 4)
+            windows = (set(s[a : a + 2 * step].tolist()) for a in range(0, len(s), step))
+            if any(100 * len(set(own.tolist()) & w) >= 80 * len(own) for w in windows):
+                want.add((i, k))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.template) for r in license_scan.scan(docs).collect()}
+    # a window of another template's length may find a template as well
+    assert want <= got and len(want) > 80 and {i for i, _ in got} == {i for i, _ in want}
+
+
 def contained(text: str, item: str, n: int = 5) -> float:
     import re
 
@@ -112,7 +135,7 @@ def test_decontamination(spark, odd_docs, no_docs):
 
 def test_decontamination_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", 0)
-    monkeypatch.setattr(decontaminate, "BROADCAST_DOCS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
     docs = spark.createDataFrame([(1, "q w e r t y u i o p"), (2, "x w e r t y")], "doc_id long, text string")
     assert [(r.doc_id, r.item_id) for r in decontaminate.find(docs, spark.createDataFrame([(5, "w e r t y u")], "item_id long, text string")).collect()] == [(1, 5)]
 
@@ -184,6 +207,24 @@ def test_nearest(spark):
     assert ann.nearest(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_recall_on_the_supplied_vectors(spark, have_tables):
+    rows = common.table(spark, SF, "embeddings")
+    got: dict[int, set[int]] = {}
+    for r in ann.nearest(rows, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    data = [(r.vec_id, np.array(r.embedding, float)) for r in rows.collect() if r.embedding is not None]
+    data = [(i, v) for i, v in data if len(v) == len(data[0][1]) and np.isfinite(v).all() and v.any()]
+    ids, x = np.array([i for i, _ in data]), np.array([v for _, v in data])
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0).tolist():
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = set(ids[np.argsort(-s)[:20]].tolist())
+        hits += len(best & got[int(ids[q])])
+        total += len(best)
+    assert hits / total >= 0.9
+
+
 def test_components(spark):
     rng = random.Random(5)
     for n, m in ((200, 120), (300, 500)):
