@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import semver
 from ..functions import text as T
 from ..operators import findings as FI
 from ..operators import graph, matching, modules, scan
@@ -178,3 +179,74 @@ SELECT p, CASE WHEN p % 3 = 0 THEN 'm' || CAST(p AS STRING) || '/a.x' WHEN p % 3
 def q_relative_file(v: Views) -> DataFrame:
     at = F.when(F.col("p") % 3 == 0, F.concat(F.lit("/work\\src/m"), F.col("p").cast("string"), F.lit("\\a.x"))).when(F.col("p") % 3 == 1, "/elsewhere/a.x").otherwise("src2/a.x")
     return v["u_module"].select("p", T.relative_file(at, F.lit("/work/src/")).alias("file"))
+
+
+@query("""
+SELECT p, CASE WHEN ok = 0 THEN '<invalid version ' || version || '>' WHEN a = 0 AND b = 0 AND c = 0 THEN 'master'
+  ELSE 'go' || CAST(a AS STRING) || '.' || CAST(b AS STRING) || CASE WHEN c = 0 THEN '' ELSE '.' || CAST(c AS STRING) END || CASE WHEN rel = 0 THEN 'rc' || CAST(rc AS STRING) ELSE '' END END AS tag
+FROM {u_module}""")
+def q_display_tag(v: Views) -> DataFrame:
+    return v["u_module"].select("p", semver.display_tag(F.col("version")).alias("tag"))
+
+
+@query("""
+SELECT p, 'v' || CAST(a AS STRING) || '.' || CAST(b AS STRING) || CASE WHEN rel = 0 THEN '.0-rc.' || CAST(rc AS STRING) ELSE '.' || CAST(c AS STRING) END AS version FROM {u_module}""")
+def q_from_tag(v: Views) -> DataFrame:
+    end = F.when(F.col("rel") == 0, F.concat(F.lit("rc"), F.col("rc").cast("string"))).otherwise(F.concat(F.lit("."), F.col("c").cast("string")))
+    tag = F.concat(F.lit("go"), F.col("a").cast("string"), F.lit("."), F.col("b").cast("string"), end)
+    return v["u_module"].select("p", semver.from_tag(tag).alias("version"))
+
+
+_NAMED = f"SELECT DISTINCT o.id AS osv, '' AS fixed_version, m.path, m.version, {_PACKAGE.replace('p %', 'm.p %')} AS package, y.symbol FROM {{u_symbol}} y JOIN {{u_module}} m ON m.p = y.p JOIN {{u_osv}} o ON o.s = y.s"
+
+
+@query(f"SELECT osv, path AS module, package, CASE WHEN symbol LIKE '%.%' THEN split_part(symbol, '.', 1) ELSE '' END AS receiver, split_part(symbol, '.', -1) AS function FROM ({_NAMED})")
+def q_symbol_findings(v: Views) -> DataFrame:
+    t = FI.top()
+    found = FI.symbol_findings(v.sql(_NAMED))
+    return found.select("osv", t["module"].alias("module"), t["package"].alias("package"), F.coalesce(t["receiver"], F.lit("")).alias("receiver"), t["function"].alias("function"))
+
+
+@query(f"SELECT DISTINCT osv, path AS module, version, package, 2 AS level FROM ({_NAMED})")
+def q_package_findings(v: Views) -> DataFrame:
+    t = FI.top()
+    found = FI.with_level(FI.package_findings(v.sql(_NAMED)))
+    return found.select("osv", t["module"].alias("module"), t["version"].alias("version"), t["package"].alias("package"), "level")
+
+
+@query(f"SELECT DISTINCT 'example.com/g' || CAST(y.p % 20 AS STRING) AS path, {_PACKAGE.replace('p %', 'y.p %')} AS package, y.symbol FROM {{u_symbol}} y JOIN {{u_module}} m ON m.p = y.p WHERE y.p % 5 <> 0")
+def q_binary_symbols(v: Views) -> DataFrame:
+    return modules.binary_symbols(_binaries(v))
+
+
+@query("""
+SELECT 'A' || CAST(caller AS STRING) AS osv, 'F' || CAST(callee AS STRING) AS sink, CAST(callee AS INT) AS defined_line, 'F' || CAST(caller AS STRING) AS entry, CAST(min(line) AS INT) AS call_line, 2 AS frames
+FROM {u_site} GROUP BY caller, callee""")
+def q_stack_findings(v: Views) -> DataFrame:
+    stacks = v.sql("SELECT callee AS vuln, 'A' || CAST(caller AS STRING) AS osv, '' AS fixed_version, array(callee, caller) AS path FROM {u_call}")
+    functions = v.sql("SELECT p AS fn_id, path AS module, version, path AS package, 'F' || CAST(p AS STRING) AS name, '' AS receiver, 'd.x' AS file, p AS line, 1 AS column FROM {u_module}")
+    calls = v.sql("SELECT caller, callee, 'c.x' AS file, min(line) AS line, 1 AS column FROM {u_site} GROUP BY caller, callee")
+    t = F.col("trace")
+    return FI.stack_findings(stacks, functions, calls).select(
+        "osv", t[0]["function"].alias("sink"), t[0]["position"]["line"].alias("defined_line"), t[1]["function"].alias("entry"), t[1]["position"]["line"].alias("call_line"), F.size("trace").alias("frames")
+    )
+
+
+@query("""
+SELECT n, CASE WHEN module = 'stdlib' OR n % 2 = 0 THEN 'a.x' ELSE module || '@v1.2.3/a.x' END AS uri,
+  CASE WHEN n % 2 = 0 THEN 'SRCROOT' WHEN module = 'stdlib' THEN 'GOROOT' ELSE 'GOMODCACHE' END AS base FROM {u_finding}""")
+def q_file_location(v: Views) -> DataFrame:
+    at = F.struct(F.lit("a.x").alias("filename"), F.lit(0).alias("offset"), F.lit(1).alias("line"), F.lit(1).alias("column"))
+    where = T.file_location(FI.frame(F.col("module"), F.lit("v1.2.3"), position=at), F.when(F.col("n") % 2 == 0, F.col("module")).otherwise("top"))
+    return v["u_finding"].select("n", where.alias("w")).select("n", "w.uri", "w.base")
+
+
+@query(f"SELECT osv, package || '.' || symbol AS symbol, count(*) AS n FROM ({_NAMED}) GROUP BY ALL")
+def q_document_symbol(v: Views) -> DataFrame:
+    return FI.symbol_findings(v.sql(_NAMED)).groupBy("osv", T.document_symbol(FI.top()).alias("symbol")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p, p % 3 AS status FROM {u_module}")
+def q_review_status(v: Views) -> DataFrame:
+    named = F.when(F.col("p") % 3 == 0, "").when(F.col("p") % 3 == 1, "UNREVIEWED").otherwise("REVIEWED")
+    return v["u_module"].select("p", T.review_status(named).cast("long").alias("status"))
