@@ -25,7 +25,7 @@ VIEWS: dict[str, str] = {
         SELECT s_suppkey AS s, 'ADV-2024-' || lpad(CAST(s_suppkey AS STRING), 4, '0') AS id,
           CASE WHEN s_suppkey % 11 = 10 THEN 1 ELSE 0 END AS withdrawn, '2024-01-' || lpad(CAST(s_suppkey % 28 + 1 AS STRING), 2, '0') AS day
         FROM {supplier}""",
-    "u_affected": "SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM {lineitem} WHERE l_partkey % 7 = 0",
+    "u_affected": "SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM {lineitem}",
     "u_fix": """
         SELECT s, p, CASE WHEN (s + p) % 4 <> 1 THEN 1 ELSE 0 END AS has_fix, s % 3 AS fa, (s * 7 + p) % 20 AS fb,
           CASE WHEN (s + p) % 4 <> 1 AND (s + p) % 5 = 0 THEN 1 ELSE 0 END AS again, s % 3 + 1 AS ia
@@ -34,7 +34,7 @@ VIEWS: dict[str, str] = {
         SELECT DISTINCT l_suppkey AS s, l_partkey AS p,
           CASE WHEN l_linenumber = 7 THEN 'T.M7' WHEN l_linenumber % 2 = 1 THEN 'F' || CAST(l_linenumber AS STRING)
             ELSE 'f' || CAST(l_linenumber AS STRING) END AS symbol
-        FROM {lineitem} WHERE l_partkey % 7 = 0""",
+        FROM {lineitem}""",
     "u_site": """
         SELECT x.l_partkey AS caller, y.l_partkey AS callee, x.l_linenumber AS line, CAST(x.l_orderkey % 80 AS INT) AS col,
           'f' || CAST(x.l_orderkey % 10 AS STRING) || '.go' AS file, x.l_orderkey % 6 <> 0 AS resolved
