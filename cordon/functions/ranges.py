@@ -59,18 +59,21 @@ def usable(version: Column) -> Column:
 def latest_fix(ranges: Column) -> Column:
     """The latest fix that no later introduction supersedes; empty if there is none. Ranges count in the order given."""
     state = "struct<fix:string,at:" + semver.KEY_TYPE + ">"
-    none = F.struct(F.lit("").alias("fix"), semver.key(F.lit("")).alias("at")).cast(state)
+    none = F.struct(F.lit("").alias("fix"), semver.lowest().alias("at")).cast(state)
 
     def later(acc: Column, e: Column) -> Column:
         fixed = F.coalesce(e["fixed"], F.lit(""))
-        k = semver.key(fixed)
-        return F.when((fixed != "") & (acc["at"] < k), F.struct(fixed.alias("fix"), k.alias("at"))).otherwise(acc).cast(state)
+        newer = lambda k: F.when(acc["at"] < k, F.struct(fixed.alias("fix"), k.alias("at"))).otherwise(acc).cast(state)
+        return F.when(fixed == "", acc).otherwise(semver.let(semver.key(fixed), newer))
 
     def one(acc: Column, r: Column) -> Column:
         events = F.coalesce(r["events"], F.array())
-        best = F.aggregate(events, acc, later)
-        back = F.exists(events, lambda e: ~F.coalesce(e["introduced"], F.lit("")).isin("", "0") & (best["at"] < semver.key(e["introduced"])))
-        return F.when(F.coalesce(r["type"], F.lit("")) != "SEMVER", acc).when(back, none).otherwise(best).cast(state)
+
+        def unless_back(best: Column) -> Column:
+            back = F.exists(events, lambda e: ~F.coalesce(e["introduced"], F.lit("")).isin("", "0") & (best["at"] < semver.key(e["introduced"])))
+            return F.when(back, none).otherwise(best).cast(state)
+
+        return F.when(F.coalesce(r["type"], F.lit("")) != "SEMVER", acc).otherwise(semver.let(F.aggregate(events, acc, later), unless_back))
 
     return F.aggregate(ranges, none, one)["fix"]
 
@@ -90,4 +93,4 @@ def earliest_fix(ranges: Column, keyed_ranges: Column, version_key: Column) -> C
     candidates = F.transform(fixes(ranges), lambda f: F.struct(semver.key(f).alias("at"), f.alias("fix")))
     ok = F.filter(F.array_sort(candidates), lambda c: (version_key < c["at"]) & ~F.exists(keyed_ranges, lambda r: contains(r, c["at"])))
     first = F.coalesce(F.get(ok, F.lit(0))["fix"], F.lit(""))
-    return F.when((first != "") & ~first.startswith("v"), F.concat(F.lit("v"), first)).otherwise(first)
+    return semver.let(first, lambda f: F.when((f != "") & ~f.startswith("v"), F.concat(F.lit("v"), f)).otherwise(f))

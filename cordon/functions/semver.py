@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,46 +19,54 @@ KEY_TYPE = (
 _NO_PRE = "array<struct<kind:int,len:int,text:string>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it: inside lambdas Spark shares no subexpressions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def canonical(v: Column) -> Column:
     """One leading ``v``, then one leading ``go``, give way to one ``v``, unless what is left begins with either."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(v, F.lit("")), r"\Av", ""), r"\Ago", "")
-    return F.when(bare.startswith("v") | bare.startswith("go"), bare).otherwise(F.concat(F.lit("v"), bare))
+    bare = F.regexp_replace(F.coalesce(v, F.lit("")), r"\Av?(?:go)?", "")
+    return let(bare, lambda b: F.when(b.startswith("v") | b.startswith("go"), b).otherwise(F.concat(F.lit("v"), b)))
 
 
 def valid(v: Column) -> Column:
     return canonical(v).rlike(PATTERN)
 
 
+def lowest() -> Column:
+    """The key of every invalid version, of literals only."""
+    zero = F.struct(F.lit(0).alias("len"), F.lit("").alias("digits"))
+    none = F.struct(F.lit(0).alias("ok"), zero.alias("major"), zero.alias("minor"), zero.alias("patch"), F.lit(0).alias("release"), F.array().cast(_NO_PRE).alias("pre"))
+    return none.cast(KEY_TYPE)
+
+
 def key(v: Column) -> Column:
     """A struct whose order is the versions': invalid ones are equal and below all others.
 
     The expression is large; make it a column once, where versions are loaded, and compare that column.
     """
-    c = canonical(v)
 
-    def number(i: int) -> Column:
-        digits = F.regexp_extract(c, PATTERN, i)
-        digits = F.when(digits == "", F.lit("0")).otherwise(digits)
-        return F.struct(F.length(digits).alias("len"), digits.alias("digits"))
-
-    pre = F.regexp_extract(c, PATTERN, 4)
-    parts = F.transform(
-        F.split(pre, r"\."),
-        lambda x: F.struct(
-            F.when(x.rlike(r"\A[0-9]+\z"), 0).otherwise(1).alias("kind"), F.when(x.rlike(r"\A[0-9]+\z"), F.length(x)).otherwise(0).alias("len"), x.alias("text")
-        ),
-    )
-    some = F.struct(
-        F.lit(1).alias("ok"),
-        number(1).alias("major"),
-        number(2).alias("minor"),
-        number(3).alias("patch"),
-        F.when(pre == "", 1).otherwise(0).alias("release"),
-        F.when(pre == "", F.array().cast(_NO_PRE)).otherwise(parts).alias("pre"),
-    ).cast(KEY_TYPE)
-    zero = F.struct(F.lit(0).alias("len"), F.lit("").alias("digits"))
-    none = F.struct(F.lit(0).alias("ok"), zero.alias("major"), zero.alias("minor"), zero.alias("patch"), F.lit(0).alias("release"), F.array().cast(_NO_PRE).alias("pre"))
-    return F.when(c.rlike(PATTERN), some).otherwise(none.cast(KEY_TYPE))
+    def of(parts: Column) -> Column:
+        def number(i: int) -> Column:
+            digits = F.when(parts[i] == "", F.lit("0")).otherwise(parts[i])
+            return F.struct(F.length(digits).alias("len"), digits.alias("digits"))
+
+        def identifier(x: Column) -> Column:
+            return let(x.rlike(r"\A[0-9]+\z"), lambda n: F.struct(F.when(n, 0).otherwise(1).alias("kind"), F.when(n, F.length(x)).otherwise(0).alias("len"), x.alias("text")))
+
+        return F.struct(
+            F.lit(1).alias("ok"),
+            number(0).alias("major"),
+            number(1).alias("minor"),
+            number(2).alias("patch"),
+            F.when(parts[3] == "", 1).otherwise(0).alias("release"),
+            F.when(parts[3] == "", F.array().cast(_NO_PRE)).otherwise(F.transform(F.split(parts[3], r"\."), identifier)).alias("pre"),
+        ).cast(KEY_TYPE)
+
+    # a canonical version never begins with "=", so only a match does; its parts hold no blank
+    matched = F.regexp_replace(canonical(v), PATTERN, "=$1 $2 $3 $4")
+    return let(matched, lambda m: F.when(m.startswith("="), let(F.split(F.substring(m, 2, 1 << 30), " ", -1), of)).otherwise(lowest()))
 
 
 def less(a: Column, b: Column) -> Column:
