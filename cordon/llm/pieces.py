@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import regex
+import tiktoken
 
 OTHER, LETTER, NUMBER, BLANK, SPACE, END = range(6)
 SEP = 0x110000
@@ -27,14 +28,15 @@ _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def _classes() -> np.ndarray:
+    """Kinds of all code points as the tokenizer library's own tables have them: other libraries' Unicode versions differ."""
     table = np.zeros(SEP + 1, np.uint8)
     points = "".join(map(chr, (c for c in range(SEP) if not 0xD800 <= c < 0xE000)))
-    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
-        for m in regex.finditer(pattern, points):
-            for run in regex.finditer(r".", m.group(), regex.S) if len(m.group()) < 64 else ():
-                table[ord(run.group())] = kind
-            if len(m.group()) >= 64:
-                table[np.frombuffer(m.group().encode("utf-32-le"), np.uint32)] = kind
+    single = {bytes([i]): i for i in range(256)}
+    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE)):
+        # what the pattern doesn't match is left out
+        match = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary
+        for k in range(0, len(points), LEARN_CHARS >> 5):
+            table[np.frombuffer(bytes(match(points[k : k + (LEARN_CHARS >> 5)])).decode().encode("utf-32-le"), np.uint32)] = kind
     table[ord(" ")] = BLANK
     table[SEP] = END
     return table

@@ -9,7 +9,7 @@ import public_tokenizers as P
 import pytest
 import regex
 import tiktoken
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from cordon.llm import bpe, pieces, token_counts, token_files
 
@@ -30,6 +30,25 @@ def test_split_is_the_pattern():
     assert got == [w for t in texts for w in regex.findall(P.PATTERN, t)]
 
 
+def test_every_code_point_in_context(reference):
+    """Between letters, digits, signs and white space, as both libraries split it: their tables of letters and numbers are older than ``regex``'s."""
+    lib = Tokenizer.from_file(JSON)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    kind = pieces._classes()
+    newer = {c for p, k in ((r"\p{L}", pieces.LETTER), (r"\p{N}", pieces.NUMBER)) for c in points if (regex.match(p, c) is not None) != (kind[ord(c)] == k)}
+    for pattern, kinds in ((r"\p{L}", [pieces.LETTER]), (r"\p{N}", [pieces.NUMBER]), (r"\s", [pieces.SPACE, pieces.BLANK])):
+        only = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        got = {c for k in range(0, len(points), 1 << 15) for w, _ in only.pre_tokenize_str("".join(points[k : k + (1 << 15)])) for c in w}
+        assert got == {c for c in points if kind[ord(c)] in kinds}, pattern
+    some = sorted(newer)[::9] + points[::499]
+    for k in range(0, len(some), 500):
+        text = "".join(f"a{c}b 1{c}2 {c}'s '{c}\n{c} {c}" for c in some[k : k + 500])
+        cps, _ = pieces.code_points([text])
+        start, end = pieces.split(cps)
+        assert [b for _, (_, b) in lib.pre_tokenizer.pre_tokenize_str(text)] == end.tolist(), k
+        assert [i for a, b in zip(start.tolist(), end.tolist(), strict=True) for i in reference.encode_ordinary(text[a:b])] == reference.encode_ordinary(text), k
+
+
 def test_table_starts_anew_and_survives_equal_hashes(monkeypatch):
     def encode(xs):
         return np.array([ord(c) for x in xs for c in x], np.uint32), np.array([len(x) for x in xs])
