@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, html_extract, license_scan, near_dedup, quality, token_counts, token_files, url_filter
+from . import ann, ball_kmeans, bpe, decontaminate, filter_audit, html_extract, kd_shards, license_scan, near_dedup, oracles, quality, token_counts, token_files, url_filter
 from .common import ship, table
 
 #: The rules of the URL query, as (host, path, action).
@@ -74,11 +74,26 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.fit())
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return ball_kmeans.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3, dims=64, scale=1024)
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keep = {"doc_id": F.col("doc_id"), "text_crc32": F.crc32(F.coalesce("text", F.lit("")))}
+    placed = kd_shards.assign(table(spark, sf_dir, "documents"), shards=16, keep=keep)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_token_files, op3_url_filter, op4_license_scan, op5_decontaminate,
-        op6_ann, op7_near_dedup, op8_token_counts, op9_quality, op10_html,
+        op6_ann, op7_near_dedup, op8_token_counts, op9_quality, op10_html, op11_clusters, op12_shards, op13_filter_audit,
     )
 }
 
@@ -100,4 +115,7 @@ m AS (SELECT k, rh || rp AS rule, action, row_number() OVER (PARTITION BY k ORDE
   FROM u JOIN r ON (u.host = rh OR ends_with(u.host, '.' || rh)) AND starts_with(u.path, rp))
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LEFT JOIN m ON u.k = m.k AND m.n = 1
 """,
+    "op11_clusters": oracles.kmeans_sql(),
+    "op12_shards": oracles.kd_sql(),
+    "op13_filter_audit": oracles.AUDIT,
 }
