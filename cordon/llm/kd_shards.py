@@ -47,6 +47,7 @@ def keyed(docs: DataFrame, dims: tuple[str, ...], text: str = "text", id_col: st
             F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("long").alias("__digest"),
             coordinate(fields[id_col]).alias("__id"),
             F.monotonically_increasing_id().alias("__row"),
+            F.lit(0).alias("__node"),
         ),
         "keyed",
     )
@@ -130,7 +131,7 @@ def _step(rows: DataFrame, splits: list[dict]) -> DataFrame:
 def tree(rows: DataFrame, shards: int) -> list[list[dict]]:
     """The splits of each level for ``keyed`` rows. A node is named by its first shard."""
     nodes, levels = {0: shards}, []
-    rows = rows.select("__size", "__at", *KEYS[1:]).withColumn("__node", F.lit(0))
+    rows = rows.select("__size", "__at", "__node", *KEYS[1:])
     k = rows.select(F.max(F.size("__at"))).first()[0]
     if k is None:
         return []
@@ -148,7 +149,6 @@ def tree(rows: DataFrame, shards: int) -> list[list[dict]]:
 
 def route(rows: DataFrame, levels: list[list[dict]]) -> DataFrame:
     """``keyed`` rows with the shard that the tree gives them: one broadcast join with a level's nodes after another, and no shuffle."""
-    rows = rows.withColumn("__node", F.lit(0))
     for splits in levels:
         rows = _step(rows, splits)
     return rows.withColumnRenamed("__node", "shard")
