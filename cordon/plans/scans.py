@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import semver
 from ..functions import text as T
 from ..operators import findings as FI
-from ..operators import graph, matching, modules, scan
+from ..operators import callgraph, graph, matching, modules, scan
 from ..sinks import documents
 from ..sources import advisories
 from . import _BACK, _ENTRIES, _HIT, _MATCH, _SINKS, NOW, query
@@ -250,3 +250,32 @@ def q_document_symbol(v: Views) -> DataFrame:
 def q_review_status(v: Views) -> DataFrame:
     named = F.when(F.col("p") % 3 == 0, "").when(F.col("p") % 3 == 1, "UNREVIEWED").otherwise("REVIEWED")
     return v["u_module"].select("p", T.review_status(named).cast("long").alias("status"))
+
+
+_STARTS = "SELECT p AS node FROM {u_module} WHERE p % 6 = 0"
+_RUNS = "runs AS MATERIALIZED (SELECT DISTINCT i.iface, i.type, m.method, m.fn_id AS callee FROM {u_implements} i JOIN {u_method} m ON m.type = i.type)"
+
+
+def _typed(n: int, calls: str) -> str:
+    """One pass of the oracle: the functions reached over ``calls``, the types of their variables, the calls left."""
+    return f"""
+c{n} AS MATERIALIZED ({calls}),
+r{n} AS ({_STARTS} UNION SELECT c.callee FROM r{n} JOIN c{n} c ON c.caller = r{n}.node),
+e{n} AS MATERIALIZED (SELECT a.src, a.dst FROM {{u_assign}} a JOIN r{n} ON r{n}.node = a.fn_id
+  UNION SELECT a.var, b.var FROM c{n} c JOIN r{n} ON r{n}.node = c.caller JOIN {{u_arg}} a ON a.site = c.site JOIN {{u_param}} b ON b.fn_id = c.callee AND b.k = a.k),
+t{n} AS (SELECT var, type FROM {{u_alloc}} a JOIN r{n} ON r{n}.node = a.fn_id UNION SELECT e.dst, t{n}.type FROM t{n} JOIN e{n} e ON e.src = t{n}.var),
+g{n} AS MATERIALIZED (SELECT c.site, c.caller, c.callee, c.resolved FROM c{n} c JOIN r{n} ON r{n}.node = c.caller WHERE c.resolved
+  UNION SELECT c.site, c.caller, c.callee, c.resolved FROM c{n} c JOIN r{n} ON r{n}.node = c.caller JOIN {{u_invoke}} i ON i.site = c.site
+    JOIN t{n} t ON t.var = i.var JOIN runs x ON x.iface = i.iface AND x.method = i.method AND x.type = t.type AND x.callee = c.callee WHERE NOT c.resolved)"""
+
+
+_CHA = """SELECT site, caller, callee, true AS resolved FROM {u_static} UNION SELECT DISTINCT i.site, i.caller, x.callee, false FROM {u_invoke} i JOIN runs x ON x.iface = i.iface AND x.method = i.method"""
+
+
+@query(f"""{{recursive}}WITH {_RUNS}, {_typed(1, _CHA)}, {_typed(2, "SELECT * FROM g1")},
+z AS (SELECT * FROM g2 WHERE caller % 13 <> 5 UNION SELECT z.site, z.caller, g.callee, z.resolved FROM z JOIN g2 g ON g.caller = z.callee AND z.callee % 13 = 5)
+SELECT site, caller, callee, resolved FROM z WHERE callee % 13 <> 5""")
+def q_call_graph(v: Views) -> DataFrame:
+    functions = v.sql("SELECT p AS fn_id, p % 13 = 5 AS synthetic FROM {u_module}")
+    facts = callgraph.Facts(functions, *[v[n] for n in ("u_static", "u_invoke", "u_implements", "u_method", "u_assign", "u_alloc", "u_arg", "u_param")])
+    return callgraph.call_graph(facts, v.sql(_STARTS))

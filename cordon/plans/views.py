@@ -41,6 +41,20 @@ VIEWS: dict[str, str] = {
         FROM {lineitem} x JOIN {lineitem} y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1
         WHERE x.l_partkey % 20 = y.l_partkey % 20 AND x.l_partkey <> y.l_partkey""",
     "u_call": "SELECT DISTINCT caller, callee FROM {u_site}",
+    "u_var": "SELECT l_orderkey * 8 + l_linenumber AS v, l_partkey AS p, l_suppkey AS s, l_linenumber AS k, l_orderkey AS o FROM {lineitem}",
+    "u_static": """
+        SELECT x.v AS site, x.p AS caller, y.p AS callee FROM {u_var} x JOIN {u_var} y ON y.v = x.v + 1 WHERE x.p % 20 = y.p % 20 AND x.p <> y.p""",
+    "u_invoke": """
+        SELECT -x.v AS site, x.p AS caller, x.v AS var, y.s - y.s % 4 AS iface, x.p % 2 AS method FROM {u_var} x JOIN {u_var} y ON y.v = x.v - 1 WHERE x.k IN (3, 5)""",
+    "u_implements": "SELECT s_suppkey - s_suppkey % 4 AS iface, s_suppkey AS type FROM {supplier} UNION SELECT s_suppkey - s_suppkey % 4 + 4, s_suppkey FROM {supplier}",
+    "u_method": "SELECT s AS type, p % 2 AS method, min(p) AS fn_id FROM {u_affected} GROUP BY s, p % 2",
+    "u_assign": """
+        SELECT x.v AS src, y.v AS dst, y.p AS fn_id FROM {u_var} x JOIN {u_var} y ON y.v = x.v + 1 WHERE x.k % 3 <> 0
+        UNION SELECT x.v, y.v, y.p FROM {u_var} x JOIN {u_var} y ON y.v = x.v - 2 WHERE x.k = 3 AND x.o % 5 = 0
+        UNION SELECT -p, v, p FROM {u_var} WHERE k = 2""",
+    "u_alloc": "SELECT v AS var, s AS type, p AS fn_id FROM {u_var} WHERE k IN (1, 2, 4)",
+    "u_arg": "SELECT site, 0 AS k, site AS var FROM {u_static} UNION SELECT site, 0, var FROM {u_invoke}",
+    "u_param": "SELECT DISTINCT p AS fn_id, 0 AS k, -p AS var FROM {u_affected}",
     "u_finding": """
         SELECT event_id AS n, 'ADV-2024-' || lpad(CAST(user_id AS STRING), 4, '0') AS osv,
           CASE WHEN user_id % 4 = 0 THEN 'stdlib' ELSE 'example.com/g' || CAST(event_id % 20 AS STRING) END AS module,
