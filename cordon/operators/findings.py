@@ -19,21 +19,21 @@ def frame(module: Column, version: Column, package: Column | None = None, functi
     ).cast(FRAME)
 
 
-def module_findings(matched: DataFrame) -> DataFrame:
+def module_findings(matched: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """A finding with one frame for each affecting row: (osv, fixed_version, trace). ``matched`` has fixed_version."""
-    return matched.select("osv", "fixed_version", F.array(frame(F.col("path"), F.col("version"))).alias("trace")).distinct()
+    return matched.select(*by, "osv", "fixed_version", F.array(frame(F.col("path"), F.col("version"))).alias("trace")).distinct()
 
 
-def package_findings(found: DataFrame) -> DataFrame:
+def package_findings(found: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``found``: osv, fixed_version, path, version, package."""
-    return found.select("osv", "fixed_version", F.array(frame(F.col("path"), F.col("version"), F.col("package"))).alias("trace")).distinct()
+    return found.select(*by, "osv", "fixed_version", F.array(frame(F.col("path"), F.col("version"), F.col("package"))).alias("trace")).distinct()
 
 
-def symbol_findings(found: DataFrame) -> DataFrame:
+def symbol_findings(found: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Findings of a program without call graph: the symbol split at its last dot into receiver and name."""
     name = F.substring_index("symbol", ".", -1)
     receiver = F.when(F.contains("symbol", F.lit(".")), F.regexp_replace("symbol", r"\.[^.]*\z", ""))
-    return found.select("osv", "fixed_version", F.array(frame(F.col("path"), F.col("version"), F.col("package"), name, receiver)).alias("trace")).distinct()
+    return found.select(*by, "osv", "fixed_version", F.array(frame(F.col("path"), F.col("version"), F.col("package"), name, receiver)).alias("trace")).distinct()
 
 
 def stack_findings(stacks: DataFrame, functions: DataFrame, calls: DataFrame) -> DataFrame:

@@ -15,16 +15,19 @@ def current(withdrawn: Column, now: Column) -> Column:
     return withdrawn.isNull() | (withdrawn >= now)
 
 
-def on_platform(imp: Column, goos: str, goarch: str) -> Column:
-    """An empty platform, or a package without a list, matches all."""
+def on_platform(imp: Column, goos: str | Column, goarch: str | Column) -> Column:
+    """An empty platform, or a package without a list, matches all. The platform may be each row's own."""
 
-    def side(listed: Column, name: str) -> Column:
-        return F.lit(True) if name == "" else (F.coalesce(F.size(listed), F.lit(0)) <= 0) | F.coalesce(F.array_contains(listed, name), F.lit(False))
+    def side(listed: Column, name: str | Column) -> Column:
+        if isinstance(name, str) and name == "":
+            return F.lit(True)
+        held = (F.coalesce(F.size(listed), F.lit(0)) <= 0) | F.coalesce(F.array_contains(listed, name), F.lit(False))
+        return held if isinstance(name, str) else (text(name) == "") | held
 
     return side(imp["goos"], goos) & side(imp["goarch"], goarch)
 
 
-def pruned(affected: DataFrame, goos: str = "", goarch: str = "") -> DataFrame:
+def pruned(affected: DataFrame, goos: str | Column = "", goarch: str | Column = "") -> DataFrame:
     """Affected rows with only the packages of the platform; a row that had packages and has none left goes."""
     kept = F.filter("imports", lambda i: on_platform(i, goos, goarch))
     return affected.withColumn("had", F.size("imports")).withColumn("imports", kept).where("had = 0 OR size(imports) > 0").drop("had")
@@ -77,47 +80,49 @@ def with_fixed(matched: DataFrame, affected: DataFrame) -> DataFrame:
     return joined.withColumn("fixed_version", ranges.earliest_fix(F.col("all_ranges"), F.col("all_keyed"), F.col("version_key"))).drop("o", "module", "all_ranges", "all_keyed")
 
 
-def targets(matched: DataFrame) -> DataFrame:
+def targets(matched: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(path, osv, package, symbol): what affecting rows name; a null package is the whole module, a null symbol the whole package.
 
-    Exploded, so that matching packages and symbols are equi-joins.
+    Exploded, so that matching packages and symbols are equi-joins. ``by`` names further columns that tell programs apart, here and below.
     """
-    p = matched.select("path", "osv", F.explode_outer("imports").alias("i"))
-    return p.select("path", "osv", F.col("i.path").alias("package"), F.explode_outer("i.symbols").alias("symbol"))
+    p = matched.select(*by, "path", "osv", F.explode_outer("imports").alias("i"))
+    return p.select(*by, "path", "osv", F.col("i.path").alias("package"), F.explode_outer("i.symbols").alias("symbol"))
 
 
-def for_packages(packages: DataFrame, matched: DataFrame) -> DataFrame:
+def for_packages(packages: DataFrame, matched: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``packages`` (path, package) with the entries that match them, each once: (path, package, osv)."""
-    t = written(targets(matched).select("path", "osv", F.col("package").alias("target")).distinct(), "targets")
-    named = packages.join(t.where("target IS NOT NULL"), (packages["path"] == t["path"]) & (packages["package"] == F.col("target"))).select(packages["path"], "package", "osv")
-    whole = packages.join(t.where("target IS NULL"), "path").select("path", "package", "osv")
+    t = written(targets(matched, by).select(*by, "path", "osv", F.col("package").alias("target")).distinct(), "targets")
+    own = [*by, "path"]
+    named = packages.join(t.where("target IS NOT NULL").withColumnRenamed("target", "package"), [*own, "package"]).select(*own, "package", "osv")
+    whole = packages.join(t.where("target IS NULL"), own).select(*own, "package", "osv")
     return named.unionByName(whole).distinct()
 
 
-def for_symbols(symbols: DataFrame, matched: DataFrame) -> DataFrame:
+def for_symbols(symbols: DataFrame, matched: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``symbols`` (path, package, symbol) with the entries that match them: (path, package, symbol, osv)."""
-    t = written(targets(matched).toDF("t_path", "osv", "t_package", "t_symbol").distinct(), "targets")
-    out = ["path", "package", "symbol", "osv"]
-    same = (F.col("path") == F.col("t_path")) & (F.col("package") == F.col("t_package"))
-    exact = symbols.join(t.where("t_symbol IS NOT NULL"), same & (F.col("symbol") == F.col("t_symbol"))).select(*out)
-    package = symbols.join(t.where("t_package IS NOT NULL AND t_symbol IS NULL"), same).select(*out)
-    module = symbols.join(t.where("t_package IS NULL"), F.col("path") == F.col("t_path")).select(*out)
+    t = written(targets(matched, by).distinct(), "targets")
+    own = [*by, "path"]
+    out = [*own, "package", "symbol", "osv"]
+    exact = symbols.join(t.where("symbol IS NOT NULL"), [*own, "package", "symbol"]).select(*out)
+    package = symbols.join(t.where("package IS NOT NULL AND symbol IS NULL").drop("symbol"), [*own, "package"]).select(*out)
+    module = symbols.join(t.where("package IS NULL").drop("package", "symbol"), own).select(*out)
     return exact.unionByName(package).unionByName(module).distinct()
 
 
-def known_symbols(matched: DataFrame) -> DataFrame:
+def known_symbols(matched: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(path, osv, package, symbol) of all affected symbols, ``<package>/*`` where none is listed: for programs without symbols."""
-    p = matched.select("path", "osv", F.explode("imports").alias("i"))
+    p = matched.select(*by, "path", "osv", F.explode("imports").alias("i"))
     none = F.coalesce(F.size("i.symbols"), F.lit(0)) <= 0
     listed = F.when(none, F.array(F.concat(F.col("i.path"), F.lit("/*")))).otherwise(F.col("i.symbols"))
-    return p.select("path", "osv", F.col("i.path").alias("package"), F.explode(listed).alias("symbol")).distinct()
+    return p.select(*by, "path", "osv", F.col("i.path").alias("package"), F.explode(listed).alias("symbol")).distinct()
 
 
-def unique_symbols(found: DataFrame) -> DataFrame:
+def unique_symbols(found: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(osv, package, path, symbol) without unexported symbols of a group that has an exported one."""
     exported = F.substring_index(F.col("symbol"), ".", -1).rlike(r"\A[A-Z]")
-    best = found.groupBy("osv", "package", "path").agg(F.max(F.substring_index(F.col("symbol"), ".", -1).rlike(r"\A[A-Z]")).alias("any_exported"))
-    return found.join(best, ["osv", "package", "path"]).where(exported | ~F.col("any_exported")).drop("any_exported")
+    group = [*by, "osv", "package", "path"]
+    best = found.groupBy(*group).agg(F.max(exported).alias("any_exported"))
+    return found.join(best, group).where(exported | ~F.col("any_exported")).drop("any_exported")
 
 
 def replaced(modules: DataFrame) -> DataFrame:

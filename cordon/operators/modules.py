@@ -20,25 +20,26 @@ def prefixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
 
 
-def resolve(packages: DataFrame, modules: DataFrame, raw_prefix: bool = False) -> DataFrame:
+def resolve(packages: DataFrame, modules: DataFrame, raw_prefix: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """(package, module): the longest module path that is a prefix of the package's; standard packages go to the standard library.
 
     The prefixes of each package meet the modules in an equi-join. With ``raw_prefix`` any string prefix counts, not only one
     at the end of an element; then prefixes of all the modules' lengths are tried. Packages without a module go to the unknown one.
+    ``by`` names further columns of both that tell programs apart.
     """
-    known = modules.select(F.col("path").alias("module")).distinct()
+    known = modules.select(*by, F.col("path").alias("module")).distinct()
     if raw_prefix:
         lengths = [r[0] for r in known.select(F.length("module").alias("n")).distinct().orderBy("n").collect()]  # bounded by the longest path
         tries = F.filter(F.transform(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: F.when(n <= F.length("package"), F.substring("package", F.lit(1), n))), lambda x: x.isNotNull())
     else:
         tries = prefixes(F.col("package"))
-    named = packages.select("package").distinct()
+    named = packages.select(*by, "package").distinct()
     std = F.when(is_standard(F.col("package")), F.array(F.lit(STDLIB))).otherwise(F.array().cast("array<string>"))
-    asked = named.select("package", F.explode(F.concat(tries, std)).alias("module"))
-    best = asked.join(known, "module").groupBy("package").agg(
+    asked = named.select(*by, "package", F.explode(F.concat(tries, std)).alias("module"))
+    best = asked.join(known, [*by, "module"]).groupBy(*by, "package").agg(
         F.max_by("module", F.when(is_standard(F.col("package")) & (F.col("module") == STDLIB), F.lit(1 << 30)).otherwise(F.length("module"))).alias("module")
     )
-    return named.join(best, "package", "left").select("package", F.coalesce("module", F.lit(UNKNOWN_MODULE)).alias("module"))
+    return named.join(best, [*by, "package"], "left").select(*by, "package", F.coalesce("module", F.lit(UNKNOWN_MODULE)).alias("module"))
 
 
 def bill_of_materials(modules: DataFrame, roots: DataFrame) -> DataFrame:
@@ -64,14 +65,14 @@ def bill_of_materials(modules: DataFrame, roots: DataFrame) -> DataFrame:
     return listed.join(named, "scan", "left").select("scan", text(F.col("go_version")).alias("go_version"), "modules", F.coalesce("roots", F.array().cast("array<string>")).alias("roots"))
 
 
+def _stands_for(m: Column) -> Column:
+    r = m["Replace"]
+    return F.struct(F.when(r.isNotNull(), r["Path"]).otherwise(m["Path"]).alias("path"), F.when(r.isNotNull(), text(r["Version"])).otherwise(text(m["Version"])).alias("version"))
+
+
 def binary_bill(binary: DataFrame) -> DataFrame:
     """(path, go_version, modules) of binary abstractions: the main module first, then in order with replacements, the standard library last."""
-    other = F.transform(
-        "modules",
-        lambda m: F.when(m["Replace"].isNotNull(), F.struct(m["Replace"]["Path"].alias("path"), text(m["Replace"]["Version"]).alias("version"))).otherwise(
-            F.struct(m["Path"].alias("path"), text(m["Version"]).alias("version"))
-        ),
-    )
+    other = F.transform("modules", _stands_for)
     main = F.when(F.col("main").isNotNull(), F.array(F.struct(F.col("main.Path").alias("path"), text(F.col("main.Version")).alias("version")))).otherwise(
         F.array().cast("array<struct<path:string,version:string>>")
     )
@@ -79,7 +80,17 @@ def binary_bill(binary: DataFrame) -> DataFrame:
     return binary.select("path", F.col("goVersion").alias("go_version"), F.concat(main, other, std).alias("modules"))
 
 
-def binary_symbols(binary: DataFrame) -> DataFrame:
-    """(path, package, symbol) of binary abstractions; package ``main`` is the main package's path if it is known."""
-    rows = binary.select("path", F.col("main.Path").alias("main"), F.explode("pkgSymbols").alias("s"))
-    return rows.select("path", F.when((F.col("s.pkg") == "main") & F.col("main").isNotNull(), F.col("main")).otherwise(text(F.col("s.pkg"))).alias("package"), F.col("s.name").alias("symbol")).distinct()
+def binary_modules(binary: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by, path, version) rows of the same modules, for joins."""
+    none = F.array().cast("array<struct<path:string,version:string>>")
+    main = F.when(F.col("main").isNotNull(), F.array(F.struct(F.col("main.Path").alias("path"), text(F.col("main.Version")).alias("version")))).otherwise(none)
+    std = F.array(F.struct(F.lit(STDLIB).alias("path"), semver.from_tag(F.col("goVersion")).alias("version")))
+    rows = binary.select(*by, F.explode(F.concat(main, F.coalesce(F.transform("modules", _stands_for), none), std)).alias("m"))
+    return rows.select(*by, "m.path", "m.version").distinct()
+
+
+def binary_symbols(binary: DataFrame, by: tuple[str, ...] = ("path",)) -> DataFrame:
+    """(path, package, symbol) of binary abstractions; package ``main`` is the main package's path if that is known."""
+    rows = binary.select(*by, F.col("path").alias("_main"), F.explode("pkgSymbols").alias("s"))
+    named = F.when((F.col("s.pkg") == "main") & (text(F.col("_main")) != ""), F.col("_main")).otherwise(text(F.col("s.pkg")))
+    return rows.select(*by, named.alias("package"), F.col("s.name").alias("symbol")).distinct()

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import UNKNOWN_MODULE, affected_rows
+from ..functions import ranges, semver
+from ..schema import UNKNOWN_MODULE, affected_rows, text
 from ..tables import written
 from . import findings as FI
 from . import graph, matching, modules
@@ -67,30 +68,53 @@ def scan_source(
     return out.unionByName(FI.stack_findings(stacks.join(sinks.select("vuln", "osv", "fixed_version"), "vuln"), named, calls))
 
 
+#: What tells the rows of several binaries apart.
+PROGRAM = ("program",)
+
+
+def programs(binary: DataFrame) -> DataFrame:
+    """Binary abstractions with ``program``, a number for each row unless they have one already, as a written table."""
+    return written(binary if "program" in binary.columns else binary.withColumn("program", F.monotonically_increasing_id()), "programs")
+
+
 def scan_binary(binary: DataFrame, entries: DataFrame, now: Column, level: str = "symbol") -> DataFrame:
-    """Findings of binary abstractions: of their modules, then of the packages and symbols that they hold, whose module is the longest known prefix.
+    """Findings (program, osv, fixed_version, trace) of binary abstractions, each by itself: of its modules, then of the packages and symbols that it holds, whose module is its longest
+    known prefix.
 
-    A binary without symbols may hold every affected one, so it gets all of those (``<package>/*`` where the entry names none).
+    Each binary has its own platform (empty: all) and symbols. One without symbols may hold every affected one, so it gets all of those (``<package>/*``
+    where the entry names none). Unexported symbols are left out where an exported one of the package is found for the entry. Versions meet the advisories once, however many binaries have them.
     """
-    bill = modules.binary_bill(binary).select(F.explode("modules").alias("m")).select("m.path", "m.version").distinct()
-    mods = written(bill.withColumn("replace", F.lit(None).cast("struct<path:string,version:string>")), "modules")
-    matched = matched_modules(mods, entries, now, *[_one(binary, c) for c in ("goos", "goarch")])
-    out = FI.module_findings(matched)
+    by = PROGRAM
+    bins = programs(binary)
+    mods = written(modules.binary_modules(bins, by), "modules")
+    affected = written(affected_rows(entries), "affected")
+    hits = matching.affecting(mods.select("path", "version").distinct(), affected, now).drop("ranges", "keyed", "ordinal")
+    known = matching.with_fixed(hits, affected).drop("version_key")
+    own = mods.join(known, ["path", "version"]).join(bins.select(*by, "goos", "goarch", (F.coalesce(F.size("pkgSymbols"), F.lit(0)) <= 0).alias("bare")), *by)
+    matched = written(matching.pruned(own, F.col("goos"), F.col("goarch")).drop("goos", "goarch"), "matched")
+    out = FI.module_findings(matched, by)
     if level == "module":
         return out
-    held = modules.binary_symbols(binary).select("package", "symbol").distinct()
-    held = written(held.join(modules.resolve(held, mods), "package").where(F.col("module") != UNKNOWN_MODULE).select(F.col("module").alias("path"), "package", "symbol"), "symbols")
-    bare = held.isEmpty()
-    symbols = matching.known_symbols(matched) if bare else matching.for_symbols(held, matched)
-    packages = symbols.select("path", "package", "osv").distinct() if bare else matching.for_packages(held.select("path", "package").distinct(), matched)
-    out = out.unionByName(FI.package_findings(_with_matched(packages, matched)))
-    return out if level == "package" else out.unionByName(FI.symbol_findings(_with_matched(symbols, matched)))
-
-
-def _one(binary: DataFrame, column: str) -> str:
-    """The platform that all the binaries share; empty (all platforms) if they differ."""
-    got = [r[0] for r in binary.select(column).distinct().limit(2).collect()]
-    return got[0] or "" if len(got) == 1 else ""
+    bare = matched.where("bare")
+    held = modules.binary_symbols(bins, by)
+    held = written(held.join(modules.resolve(held, mods, by=by), [*by, "package"]).where(F.col("module") != UNKNOWN_MODULE).select(*by, F.col("module").alias("path"), "package", "symbol"), "symbols")
+    symbols = written(matching.known_symbols(bare, by).unionByName(matching.for_symbols(held, matched, by)), "found")
+    packages = symbols.join(bare.select(*by).distinct(), [*by], "left_semi").select(*by, "path", "package", "osv").distinct()
+    packages = packages.unionByName(matching.for_packages(held.select(*by, "path", "package").distinct(), matched, by))
+    versions = matched.select(*by, "path", "version", "osv", "fixed_version").distinct()
+    out = out.unionByName(FI.package_findings(packages.join(versions, [*by, "path", "osv"]), by))
+    return out if level == "package" else out.unionByName(FI.symbol_findings(matching.unique_symbols(symbols, by).join(versions, [*by, "path", "osv"]), by))
+
+
+def binary_warnings(binary: DataFrame) -> DataFrame:
+    """(program, message): binaries that are too old to tell their modules, and those of unknown platform."""
+    tag, os, arch = (text(F.col(c)) for c in ("goVersion", "goos", "goarch"))
+    version = semver.from_tag(tag)
+    # fixed values: the texts of the two warnings
+    old = F.when(semver.key(version) < semver.key(F.lit("v1.18.0")), F.concat(F.lit("warning: binary built with Go version "), tag, F.lit(", only standard library vulnerabilities will be checked")))
+    unknown = F.when((os == "") | (arch == ""), F.concat(F.lit("warning: failed to extract build system specification GOOS: "), os, F.lit(" GOARCH: "), arch, F.lit("\n")))
+    said = F.filter(F.array(F.when(ranges.usable(version), old), unknown), lambda m: m.isNotNull())
+    return programs(binary).select("program", F.explode(said).alias("message"))
 
 
 def answered(requests: DataFrame, found: DataFrame) -> DataFrame:

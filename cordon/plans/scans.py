@@ -50,32 +50,65 @@ def q_scan_source(v: Views) -> DataFrame:
     return _shown(scan.scan_source(m.select("path", "version", "replace"), packages, functions, sites, v.sql(_ENTRIES), v.entries(), _now()))
 
 
-@query(f"""WITH x AS (SELECT *, {_PACKAGE} AS package, p % 5 <> 0 AS imported FROM {_MATCH})
-{_LEVELS} SELECT DISTINCT x.osv, x.path, x.package, y.symbol, 3, 1 FROM x JOIN (SELECT DISTINCT p, symbol FROM {{u_symbol}}) y ON y.p = x.p
-  LEFT JOIN {{u_symbol}} z ON z.s = x.s AND z.p = x.p AND z.symbol = y.symbol WHERE imported AND (x.p % 9 = 0 OR x.p % 4 = 0 OR z.p IS NOT NULL)""")
+#: Programs of forty modules each, so that they grow with the tables: a fourth of them has no symbols, three platforms take turns, every other one has a main module.
+_PROGRAM = "CAST((p - p % 40) / 40 AS BIGINT)"
+_HELD = f"(SELECT *, {_PROGRAM} AS g, {_PACKAGE} AS package, {_PROGRAM} % 4 = 3 AS bare, {_PROGRAM} % 2 = 0 AND p % 40 = 2 AS main FROM {{u_module}})"
+_ON = """(p % 9 = 0 OR ((g % 3 = 0 OR p % 3 = 2 OR (g % 3 = 1 AND p % 3 = 0) OR (g % 3 = 2 AND p % 3 = 1))
+  AND (g % 3 = 0 OR p % 5 > 1 OR (g % 3 = 1 AND p % 5 = 0) OR (g % 3 = 2 AND p % 5 = 1))))"""
+
+
+@query(f"""WITH x AS (SELECT * FROM (SELECT *, {_PROGRAM} AS g, {_PACKAGE} AS package FROM {_MATCH}) WHERE {_ON}),
+y AS (SELECT DISTINCT p, symbol FROM {{u_symbol}} WHERE p % 5 <> 0),
+f AS (SELECT DISTINCT x.g, x.osv, x.path, x.package, y.symbol FROM x JOIN y ON y.p = x.p LEFT JOIN {{u_symbol}} z ON z.s = x.s AND z.p = x.p AND z.symbol = y.symbol
+    WHERE g % 4 <> 3 AND (x.p % 9 = 0 OR x.p % 4 = 0 OR z.p IS NOT NULL)
+  UNION SELECT x.g, x.osv, x.path, x.package, CASE WHEN x.p % 4 = 0 THEN x.package || '/*' ELSE z.symbol END FROM x JOIN {{u_symbol}} z ON z.s = x.s AND z.p = x.p WHERE g % 4 = 3 AND x.p % 9 <> 0),
+u AS (SELECT * FROM (SELECT *, max(regexp_matches(symbol, '(^|\\.)[A-Z][^.]*$')) OVER (PARTITION BY g, osv, path, package) AS better FROM f) WHERE NOT better OR regexp_matches(symbol, '(^|\\.)[A-Z][^.]*$'))
+SELECT g AS program, osv, path AS module, '' AS package, '' AS symbol, 1 AS level, 1 AS frames FROM x
+UNION SELECT g, osv, path, package, '', 2, 1 FROM x WHERE (g % 4 <> 3 AND p IN (SELECT p FROM y)) OR (g % 4 = 3 AND p % 9 <> 0)
+UNION SELECT g, osv, path, package, symbol, 3, 1 FROM u""")
 def q_scan_binary(v: Views) -> DataFrame:
-    return _shown(scan.scan_binary(_binaries(v), v.entries(), _now()))
+    found = scan.scan_binary(_binaries(v), v.entries(), _now())
+    t = FI.top()
+    text = lambda c: F.coalesce(t[c], F.lit(""))
+    symbol = F.concat_ws(".", t["receiver"], t["function"])
+    return FI.with_level(found).select("program", "osv", t["module"].alias("module"), text("package").alias("package"), symbol.alias("symbol"), "level", F.size("trace").alias("frames"))
 
 
 def _binaries(v: Views) -> DataFrame:
-    """A binary for each group of modules: the modules of p % 5 = 0 keep no symbols."""
+    """A binary for each program: the modules of p % 5 = 0 keep no symbols, those of the main module stand under ``main``."""
+    held = v.sql(f"SELECT * FROM {_HELD}")
     none = F.lit(None).cast("struct<Path:string,Version:string>")
-    m = v["u_module"].select(F.substring_index("path", "/", 2).alias("g"), "p", F.struct(F.col("path").alias("Path"), F.col("version").alias("Version"), none.alias("Replace")).alias("m"))
-    s = v.sql(f"SELECT DISTINCT y.p, {_PACKAGE.replace('p %', 'y.p %')} AS pkg, y.symbol AS name FROM {{u_symbol}} y JOIN {{u_module}} m ON m.p = y.p WHERE y.p % 5 <> 0")
-    held = m.join(s.groupBy("p").agg(F.collect_list(F.struct("pkg", "name")).alias("s")), "p", "left")
-    return held.groupBy("g").agg(F.array_sort(F.collect_list("m")).alias("modules"), F.array_sort(F.flatten(F.collect_list("s"))).alias("pkgSymbols")).select(
-        F.col("g").alias("path"), none.alias("main"), "modules", "pkgSymbols", F.lit("go1.21.0").alias("goVersion"), F.lit("").alias("goos"), F.lit("").alias("goarch")
-    )
+    m = F.struct(F.col("path").alias("Path"), F.col("version").alias("Version"), none.alias("Replace"))
+    s = v.sql("SELECT DISTINCT p, symbol FROM {u_symbol} WHERE p % 5 <> 0").join(held.where("NOT bare").select("g", "p", F.when(F.col("main"), "main").otherwise(F.col("package")).alias("pkg")), "p")
+    symbols = s.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("pkg", F.col("symbol").alias("name")))).alias("pkgSymbols"))
+    listed = held.groupBy("g").agg(
+        F.array_sort(F.collect_list(F.when(~F.col("main"), m))).alias("modules"), F.max(F.when(F.col("main"), F.col("path"))).alias("path"),
+        F.max(F.when(F.col("main"), F.struct(F.col("path").alias("Path"), F.col("version").alias("Version")))).alias("main"),
+    ).withColumn("modules", F.filter("modules", lambda x: x.isNotNull()))
+    turn = lambda *names: F.get(F.lit(list(names)), (F.col("g") % len(names)).cast("int"))
+    return listed.join(symbols, "g", "left").select(
+        F.col("g").alias("program"), F.coalesce("path", F.concat(F.lit("cmd/p"), F.col("g").cast("string"))).alias("path"), "main", "modules", "pkgSymbols",
+        turn("go1.21.0", "go1.17.3", "go1.18.0").alias("goVersion"), turn("", "linux", "windows").alias("goos"), turn("", "amd64", "386").alias("goarch"),
+    )
 
 
-@query("""
-SELECT 'example.com/g' || CAST(g AS STRING) AS path, n + 1 AS n_modules, list AS modules FROM (
-  SELECT p % 20 AS g, count(*) AS n, string_agg(path || '@' || version, ' ' ORDER BY path) || ' stdlib@v1.21.0' AS list FROM {u_module} GROUP BY g)""")
+_NAME = "CASE WHEN g % 2 = 0 AND bool_or(main) THEN max(path) FILTER (WHERE main) ELSE 'cmd/p' || CAST(g AS STRING) END"
+
+
+@query(f"""
+SELECT {_NAME} AS path, count(*) + 1 AS n_modules, string_agg(path || '@' || version, ' ' ORDER BY CASE WHEN main THEN 0 ELSE 1 END, path) ||
+  ' stdlib@' || CASE g % 3 WHEN 0 THEN 'v1.21.0' WHEN 1 THEN 'v1.17.3' ELSE 'v1.18.0' END AS modules FROM {_HELD} GROUP BY g""")
 def q_binary_bill(v: Views) -> DataFrame:
     named = F.transform("modules", lambda m: F.concat(m["path"], F.lit("@"), m["version"]))
     return modules.binary_bill(_binaries(v)).select("path", F.size("modules").cast("long").alias("n_modules"), F.array_join(named, " ").alias("modules"))
 
 
+@query(f"""SELECT g AS program, 'warning: binary built with Go version go1.17.3, only standard library vulnerabilities will be checked' AS message FROM {_HELD} WHERE g % 3 = 1 GROUP BY g
+UNION ALL SELECT g, 'warning: failed to extract build system specification GOOS:  GOARCH: ' || chr(10) FROM {_HELD} WHERE g % 3 = 0 GROUP BY g""")
+def q_binary_warnings(v: Views) -> DataFrame:
+    return scan.binary_warnings(_binaries(v))
+
+
 @query(f"""
 SELECT m.path, CASE WHEN m.ok = 1 THEN m.version ELSE '' END AS version, coalesce(string_agg(o.id, ' ' ORDER BY o.id) FILTER (WHERE m.ok = 0 OR {_HIT}), '') AS ids
 FROM {{u_module}} m LEFT JOIN {{u_fix}} f ON m.p = f.p LEFT JOIN {{u_osv}} o ON o.s = f.s GROUP BY ALL""")
@@ -119,6 +152,25 @@ def q_witness_skip(v: Views) -> DataFrame:
     return graph.representative_stacks(vulns, sites, v.sql(_ENTRIES)).select("vuln", F.size("path").alias("length"))
 
 
+@query("""{recursive}WITH r AS (SELECT p AS vuln, p AS node, 0 AS depth FROM {u_module} WHERE p % 14 = 7
+  UNION SELECT r.vuln, e.caller, r.depth + 1 FROM r JOIN {u_call} e ON e.callee = r.node
+  WHERE e.caller <> r.vuln AND r.depth < 12 AND (r.depth = 0 OR r.node % 14 <> 7 OR r.node % 8 <> r.vuln % 8)),
+d AS MATERIALIZED (SELECT vuln, node, min(depth) AS depth FROM r GROUP BY ALL),
+near AS MATERIALIZED (SELECT vuln, min(depth) AS depth FROM d WHERE depth > 0 AND node % 3 = 0 GROUP BY vuln),
+b AS MATERIALIZED (SELECT caller, callee, CASE WHEN resolved THEN 0 ELSE 1 END AS cost FROM (SELECT *, row_number() OVER (PARTITION BY caller, callee ORDER BY line, col, file, resolved DESC) AS k FROM {u_site}) WHERE k = 1),
+y AS (SELECT vuln, vuln AS node, 0 AS depth, 0 AS weight, [vuln] AS back FROM near
+  UNION ALL SELECT y.vuln, b.caller, y.depth + 1, y.weight + b.cost, list_prepend(b.caller, y.back) FROM y JOIN near ON near.vuln = y.vuln JOIN b ON b.callee = y.node
+    JOIN d ON d.vuln = y.vuln AND d.node = b.caller AND d.depth = y.depth + 1
+  WHERE y.depth < near.depth AND (y.depth = 0 OR y.node % 14 <> 7 OR y.node % 8 <> y.vuln % 8))
+SELECT y.vuln, array_to_string(list_reverse(arg_min(back, (weight, back))), '<') AS path, min(weight) AS weight
+FROM y JOIN near ON near.vuln = y.vuln AND near.depth = y.depth WHERE y.node % 3 = 0 GROUP BY y.vuln""")
+def q_witness_path(v: Views) -> DataFrame:
+    """Sink to entry, with the number of unresolved calls."""
+    vulns = v.sql(_SINKS).select(F.col("node").alias("vuln"), (F.col("node") % 8).cast("string").alias("osv"), F.lit("k").alias("package"), "node")
+    sites = graph.best_call_sites(v["u_site"].withColumnRenamed("col", "column"))
+    return graph.representative_stacks(vulns, sites, v.sql(_ENTRIES)).select("vuln", F.array_join(F.col("path").cast("array<string>"), "<").alias("path"), "weight")
+
+
 @query(f"{{recursive}}WITH {_BACK} SELECT caller, callee FROM {{u_call}} WHERE caller IN (SELECT node FROM b) AND callee IN (SELECT node FROM b)")
 def q_vulnerable_graph(v: Views) -> DataFrame:
     return graph.vulnerable_graph(v["u_call"], v.sql(_SINKS))
@@ -214,9 +266,10 @@ def q_package_findings(v: Views) -> DataFrame:
     return found.select("osv", t["module"].alias("module"), t["version"].alias("version"), t["package"].alias("package"), "level")
 
 
-@query(f"SELECT DISTINCT 'example.com/g' || CAST(y.p % 20 AS STRING) AS path, {_PACKAGE.replace('p %', 'y.p %')} AS package, y.symbol FROM {{u_symbol}} y JOIN {{u_module}} m ON m.p = y.p WHERE y.p % 5 <> 0")
+@query(f"""
+SELECT DISTINCT g AS program, package, symbol FROM {_HELD} m JOIN (SELECT p, symbol FROM {{u_symbol}} WHERE p % 5 <> 0) y ON y.p = m.p WHERE NOT bare""")
 def q_binary_symbols(v: Views) -> DataFrame:
-    return modules.binary_symbols(_binaries(v))
+    return modules.binary_symbols(_binaries(v), ("program",))
 
 
 @query("""

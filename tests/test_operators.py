@@ -5,8 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from cordon.functions import text as T
-from cordon.operators import findings, graph, modules
-from cordon.schema import ENTRY, FINDING, FRAME
+from cordon.operators import findings, graph, modules, scan
+from cordon.schema import BINARY_DDL, ENTRY, FINDING, FRAME
 from cordon.sinks import documents, report
 from cordon.streaming import messages
 
@@ -117,3 +117,45 @@ def test_stream(spark, tmp_path):
     stream = messages.best_levels(messages.findings_of(read_message_lines(spark, str(tmp_path / "in"), streaming=True)))
     messages.run_once(stream, lambda df, _: seen.update({r.osv: (r.level, r.n) for r in df.collect()}), str(tmp_path / "ck")).awaitTermination()
     assert seen == {r.osv: (r.level, r.n) for r in messages.best_levels(found(spark)).collect()} == {"V-1": (3, 1), "V-2": (2, 1), "V-3": (1, 1)}
+
+
+def test_deep_stacks_by_doubling(spark):
+    """A chain of 37 calls, with a side way that is as long but has an unresolved call."""
+    calls = [(f"n{i + 1:02d}", f"n{i:02d}", True) for i in range(37)] + [("n05x", "n04", False), ("n06", "n05x", True)]
+    assert stacks(spark, [("v", "o", "p", "n00"), ("w", "q", "p", "n00")], calls, ["n37"]) == {k: ([f"n{i:02d}" for i in range(38)], 0) for k in ("v", "w")}
+
+
+def binaries(spark):
+    module = lambda p, v: {"Path": p, "Version": v, "Replace": None}
+    sym = lambda pkg, *names: [{"pkg": pkg, "name": n} for n in names]
+    rows = [
+        ("a", {"path": "top.org/cmd", "main": {"Path": "top.org", "Version": "v0.1.0"}, "modules": [module("a.org/m", "v1.0.0")], "pkgSymbols": sym("main", "Bad") + sym("a.org/m/p", "F", "f")}),
+        ("stripped", {"path": "x", "main": None, "modules": [module("a.org/m", "v1.0.0")], "pkgSymbols": []}),
+        ("windows", {"path": "y", "main": None, "modules": [module("a.org/m", "v1.0.0"), module("b.org/n", "v1.0.0")], "pkgSymbols": sym("a.org/m/p", "f"), "goos": "windows", "goarch": "amd64"}),
+        ("fixed", {"path": "z", "main": None, "modules": [module("a.org/m", "v3.0.0")], "pkgSymbols": sym("a.org/m/p", "F")}),
+    ]
+    return spark.createDataFrame([{"program": k, "goVersion": "go1.20.0", "goos": "linux", "goarch": "amd64"} | v for k, v in rows], f"program string, {BINARY_DDL}")
+
+
+def test_several_binaries_are_each_as_alone(spark):
+    def entry(i, module, symbols, goos=()):
+        imports = [{"path": f"{module}/cmd" if module == "top.org" else f"{module}/p", "goos": list(goos), "goarch": [], "symbols": symbols}]
+        return {"id": i, "affected": [{"package": {"name": module}, "ranges": [{"type": "SEMVER", "events": [{"introduced": "0", "fixed": None}, {"introduced": None, "fixed": "2.0.0"}]}], "ecosystem_specific": {"imports": imports}}]}
+
+    known = spark.createDataFrame([entry("V1", "a.org/m", ["F", "f", "g"]), entry("V2", "a.org/m", [], ["linux"]), entry("V3", "top.org", ["Bad"])], ENTRY)
+    now = F.lit("2024-01-01").cast("timestamp")
+    show = lambda df: sorted((r.program, r.osv, r.fixed_version, r.trace[0].package or "", r.trace[0].function or "") for r in df.collect())
+    table = binaries(spark)
+    together = show(scan.scan_binary(table, known, now))
+    assert together == sorted(x for r in ("a", "stripped", "windows", "fixed") for x in show(scan.scan_binary(table.where(F.col("program") == r), known, now)))
+    symbols = {(p, o, f) for p, o, _, _, f in together if f}
+    # the symbol of the main package stands under its path; f goes where F is found too; the linux entry leaves windows alone
+    assert {x for x in symbols if x[0] == "a"} == {("a", "V1", "F"), ("a", "V2", "F"), ("a", "V3", "Bad")}
+    assert {x for x in symbols if x[0] == "windows"} == {("windows", "V1", "f")}
+    assert {x for x in symbols if x[0] == "stripped"} >= {("stripped", "V1", "F")} and not any(p == "fixed" for p, *_ in together)
+
+
+def test_warnings_of_binaries(spark):
+    old = binaries(spark).withColumns({"goVersion": F.when(F.col("program") == "a", "go1.17").otherwise("go1.18"), "goos": F.when(F.col("program") == "fixed", "").otherwise("linux")})
+    said = {(r.program, r.message.split(":")[1].split()[0]) for r in scan.binary_warnings(old).collect()}
+    assert said == {("a", "binary"), ("fixed", "failed")}
