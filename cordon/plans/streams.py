@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..schema import FINDING, MESSAGE
+from ..sources import messages
 from ..streaming import stateful
 from ..tables import shared_dir
 from . import query
@@ -44,3 +46,15 @@ def q_meeting_stream(v: Views) -> DataFrame:
     met, checkpoint = _streamed(v, rows, MESSAGE, stateful.meetings)
     all_pairs = stateful.paired(met.unionByName(stateful.unmet(v.spark, checkpoint)))
     return all_pairs.groupBy("osv", F.coalesce("entry.summary", F.lit("")).alias("summary")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT osv, level, count(*) AS n, CAST(0 AS BIGINT) AS doubled FROM {u_finding} GROUP BY ALL")
+def q_message_files(v: Views) -> DataFrame:
+    """Findings saved one after another over many lines each, and read back; ``doubled`` counts places in a file that two messages share."""
+    folder = f"{shared_dir(v.spark)}/cordon/messages-{uuid.uuid4().hex}"
+    saved = v.findings().select(F.to_json(F.struct(F.struct("osv", "fixed_version", "trace").alias("finding")), {"pretty": "true"}).alias("value"))
+    saved.coalesce(1).write.text(folder)
+    rows = messages.read_messages(v.spark, folder).where("finding IS NOT NULL")
+    level = T.level_of(F.get("finding.trace", F.lit(0))).alias("level")
+    placed = rows.groupBy("file", "ordinal", F.col("finding.osv").alias("osv"), level).agg(F.count("*").alias("c"))
+    return placed.groupBy("osv", "level").agg(F.sum("c").alias("n"), F.sum(F.col("c") - 1).alias("doubled"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranges, semver
 from ..schema import ENTRY, INDEX_MODULES_DDL, affected_rows, text
+from .json_objects import json_objects
 
 #: Endpoints below the root of a database.
 DB, MODULES, IDS = "index/db", "index/modules", "ID"
@@ -70,8 +71,9 @@ def from_rows(spark: SparkSession, rows: list) -> DataFrame:
 
 
 def read_modules_index(spark: SparkSession, root: str) -> DataFrame:
-    """The stored index: (path, vulns); a JSON array, one row for each element."""
-    return spark.read.schema(INDEX_MODULES_DDL).json(f"{root}/{MODULES}.json", multiLine=True)
+    """The stored index: (path, vulns); a JSON array, one row for each element, read by many tasks."""
+    rows = json_objects(spark, f"{root}/{MODULES}.json", array=True)
+    return rows.select(F.from_json("json", INDEX_MODULES_DDL, {"mode": "FAILFAST"}).alias("m")).select("m.*")
 
 
 def last_modified(entries: DataFrame) -> DataFrame:

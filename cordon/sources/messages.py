@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from ..schema import BINARY_DDL, MESSAGE
-
-
-@udtf(returnType="ordinal: int, json: string")
-class _SplitObjects:
-    """JSON objects that stand one after another, however they are laid out."""
-
-    def eval(self, text: str) -> Iterator[tuple[int, str]]:
-        decoder, at, n = json.JSONDecoder(), 0, 0
-        while True:
-            while at < len(text) and text[at].isspace():
-                at += 1
-            if at == len(text):
-                return
-            _, end = decoder.raw_decode(text, at)
-            yield n, text[at:end]
-            at, n = end, n + 1
+from .json_objects import json_objects
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ordinal, config, progress, SBOM, osv, finding) of files that hold messages one after another; one file is one task's."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    split = whole.lateralJoin(_SplitObjects(F.col("value").outer()))
-    return split.select("file", "ordinal", F.from_json("json", MESSAGE).alias("m")).select("file", "ordinal", "m.*")
+    """(file, ordinal, config, progress, SBOM, osv, finding) of files that hold messages one after another, in any layout; a large file is read by many tasks."""
+    rows = json_objects(spark, path)
+    return rows.select("file", "ordinal", F.from_json("json", MESSAGE, {"mode": "FAILFAST"}).alias("m")).select("file", "ordinal", "m.*")
 
 
 def read_message_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:

@@ -3,11 +3,13 @@ from __future__ import annotations
 import gzip
 import http.server
 import json
+import random
 import threading
 
 import pytest
 
 from cordon.sources import advisories, messages
+from cordon.sources.json_objects import json_objects
 
 
 def entry(i: str, module: str, *events) -> dict:
@@ -116,3 +118,32 @@ def test_blob(spark, tmp_path):
         (tmp_path / "bad").write_text(text)
         with pytest.raises(Exception, match="abstraction"):
             messages.read_blob(spark, str(tmp_path / "bad"), "bin", "1").collect()
+
+
+@pytest.mark.parametrize("block", [64, 1000, 1 << 27])
+def test_objects_of_any_layout_over_many_blocks(spark, tmp_path, block):
+    """Braces, brackets, quotes and backslashes in strings, nested lists, every layout; blocks that start anywhere."""
+    rng = random.Random(block)
+    signs = ['"', "\\", "{", "}", "[", "]", ",", "\n", "é", "a", "}{", '\\"', "]}"]
+    deep = lambda k: "".join(rng.choice(signs) for _ in range(rng.randrange(30))) if k == 0 else rng.choice([lambda: [deep(k - 1) for _ in range(rng.randrange(4))], lambda: {deep(0): deep(k - 1), "x": deep(k - 1)}])()
+    objects = [{"k": i, "v": deep(3)} for i in range(60)]
+    plain = "".join(json.dumps(o, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5) + rng.choice(["", "\n", " \n\n"]) for o in objects)
+    for name, text in (("a.json", plain), ("b.json", ""), ("c.json", "{}{}")):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    (tmp_path / "list").mkdir()
+    (tmp_path / "list" / "d.json").write_text(json.dumps(objects, indent=2), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        got = {(r.file.rsplit("/", 1)[1], r.ordinal): json.loads(r.json) for r in json_objects(spark, f"{tmp_path}/*.json").collect()}
+        listed = {r.ordinal: json.loads(r.json) for r in json_objects(spark, str(tmp_path / "list"), array=True).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {("a.json", i): o for i, o in enumerate(objects)} | {("c.json", 0): {}, ("c.json", 1): {}}
+    assert listed == dict(enumerate(objects))
+
+
+def test_text_after_the_last_object_is_an_error(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"k": 1}\n{"k": [')
+    with pytest.raises(Exception, match="text after the last object"):
+        json_objects(spark, str(tmp_path / "x.json")).collect()
