@@ -9,6 +9,8 @@ their place, so no tie, however large, is left whole or out. Neither texts nor r
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,9 +56,11 @@ def keyed(docs: DataFrame, dims: tuple[str, ...], text: str = "text", id_col: st
 
 
 def _frame(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """A row for each node of a level: as many as there are shards at most."""
-    names = [f.name for f in T._parse_datatype_string(schema).fields]
-    return F.broadcast(spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema))
+    """A row for each node of a level: as many as there are shards at most. They travel as one literal, as rows of Python objects would need a Python worker."""
+    fields = T._parse_datatype_string(schema).fields
+    text = json.dumps([{f.name: r[f.name] for f in fields} for r in rows])
+    kinds = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in fields)
+    return F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kinds}>>"))))
 
 
 def _level(nodes: dict[int, int], rows: DataFrame, wide: list[int], k: int) -> list[dict]:
