@@ -18,17 +18,18 @@ BROADCAST_ROWS = 2_000_000
 ROW = "__row"
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number for each row, as a written table: null and repeated ids are judged by their own rows' texts."""
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, as a written table, and the number's name, which no column of ``docs`` has: null and repeated ids are judged by their own rows' texts."""
+    row = ROW + "_" * max([len(c) for c in docs.columns if c.lower().startswith(ROW)], default=0)
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
-def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+def _without(rows: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
     """``rows`` without those whose number is listed, and without the number."""
-    listed = written(dropped.select(ROW).distinct(), "dropped")
+    listed = written(dropped.select(F.col(ROW).alias(row)).distinct(), "dropped")
     if listed.count() <= BROADCAST_ROWS:
         listed = F.broadcast(listed)
-    return rows.join(listed, ROW, "left_anti").drop(ROW)
+    return rows.join(listed, row, "left_anti").drop(row)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,20 +44,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (five words, 0.8): that of smallest doc_id, ties by place, one without id last; empty texts stay."""
     ship(spark)
-    rows = _numbered(docs)
-    found = near_dedup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text", F.col("doc_id").alias("id")), keep=("id",))
+    rows, row = _numbered(docs)
+    found = near_dedup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text", F.col("doc_id").alias("id")), keep=("id",))
     found = written(found.select(F.col("doc_id").alias(ROW), "id", F.col("component_id").alias("c")), "groups")
     order = F.struct(F.col("id").isNull().alias("last"), "id", ROW)
     best = found.groupBy("c").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1").select("c", F.col(f"best.{ROW}").alias("stays"), "n")
     dropped = join_sized(found, best, "c", "n", found.count()).where(F.col(ROW) != F.col("stays"))
-    return _without(rows, dropped)
+    return _without(rows, dropped, row)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item, each judged by its own text."""
-    rows = _numbered(docs)
-    found = decontaminate.find(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return _without(rows, found.select(F.col("doc_id").alias(ROW)))
+    rows, row = _numbered(docs)
+    found = decontaminate.find(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(rows, found.select(F.col("doc_id").alias(ROW)), row)
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
