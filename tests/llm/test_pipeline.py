@@ -38,3 +38,10 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs, have_tables):
             out = stage(spark, docs, SF)
             assert name == "byte_bpe" or out.columns == docs.columns
             assert out.count() <= docs.count()
+
+
+def test_stages_keep_a_column_of_the_row_numbers_name(spark, have_tables):
+    docs = spark.createDataFrame([(1, "a b c d e f g", 7), (2, "a b c d e f g", 8), (None, "other words than those of before", 9)], "doc_id long, text string, __row long")
+    for stage, want in ((corpus_pipeline.near_dedup_stage, [7, 9]), (corpus_pipeline.decontaminate_stage, [7, 8, 9])):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and sorted(r["__row"] for r in out.collect()) == want
