@@ -8,6 +8,7 @@ pages and decoded by Viterbi; the content blocks, joined by one space, are the m
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
 from html.parser import HTMLParser
@@ -37,28 +38,66 @@ def _unseen(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     return tag in UNSEEN or any(n == "hidden" or (n == "aria-hidden" and v == "true") or (n == "style" and CONCEALED.search(v or "")) for n, v in attrs)
 
 
+class Place:
+    """An open element as blocks see it: its tag, and the features of ancestors that hold from it on, beside its parent's."""
+
+    __slots__ = ("fresh", "parent", "tag", "value")
+
+    def __init__(self, parent: Place | None, tag: str, fresh: list[str]):
+        self.parent, self.tag, self.fresh = parent, tag, fresh
+        self.value: np.ndarray | None = None
+
+
 class _Blocks(HTMLParser):
-    """Collects (text, open elements with their class words, characters in links)."""
+    """Collects (text, place, characters in links). An element costs its own tag, class words and end, however deep it stands."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, tuple[str, ...]]] = []
-        self.unseen: list[bool] = []
-        self.found: list[tuple[str, tuple[tuple[str, tuple[str, ...]], ...], int]] = []
+        self.open: list[tuple[str, bool, Place]] = []
+        self.root = Place(None, "", [])
+        self.holding: set[str] = set()
+        #: Open elements by name, and those that an implicit end could meet by (open barriers, name).
+        self.count: Counter[str] = Counter()
+        self.near: Counter[tuple[int, str]] = Counter()
+        self.barriers = 0
+        self.found: list[tuple[str, Place, int]] = []
         self.text: list[str] = []
-        self.linked = self.hidden = self.links = 0
+        self.linked = self.hidden = 0
+
+    def place(self) -> Place:
+        return self.open[-1][2] if self.open else self.root
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.found.append((text, tuple(x for x in self.open if x[0] not in INLINE), self.linked))
+            self.found.append((text, self.place(), self.linked))
         self.text, self.linked = [], 0
 
+    def _push(self, tag: str, unseen: bool, words: list[str]) -> None:
+        place = self.place()
+        if tag not in INLINE:
+            fresh = [f for f in dict.fromkeys([f"in:{tag}", *(f"word:{w}" for w in words)]) if f not in self.holding]
+            self.holding.update(fresh)
+            place = Place(place, tag, fresh)
+        self.open.append((tag, unseen, place))
+        self.count[tag] += 1
+        self.hidden += unseen
+        if tag in BARRIER:
+            self.barriers += 1
+        elif tag in SAME_CLOSES:
+            self.near[self.barriers, tag] += 1
+
     def _pop_to(self, k: int) -> None:
-        for tag, _ in self.open[k:]:
-            self.links -= tag == "a"
-        self.hidden -= sum(self.unseen[k:])
-        del self.open[k:], self.unseen[k:]
+        while len(self.open) > k:
+            tag, unseen, place = self.open.pop()
+            self.count[tag] -= 1
+            self.hidden -= unseen
+            if tag in BARRIER:
+                self.barriers -= 1
+            elif tag in SAME_CLOSES:
+                self.near[self.barriers, tag] -= 1
+            if tag not in INLINE:
+                self.holding.difference_update(place.fresh)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -70,18 +109,11 @@ class _Blocks(HTMLParser):
             return
         if tag == "body" and self.hidden:  # an unclosed head
             self._pop_to(0)
-        if tag in CLOSES_P or tag in SAME_CLOSES:
-            for k in range(len(self.open) - 1, -1, -1):
-                if (self.open[k][0] == "p" and tag in CLOSES_P) or (self.open[k][0] == tag and tag in SAME_CLOSES):
-                    self._pop_to(k)
-                    break
-                if self.open[k][0] in BARRIER:
-                    break
-        words = tuple(w for n, v in attrs if v and n in ("class", "id", "role") for w in re.findall(r"[a-z]+", v.lower()))
-        self.open.append((tag, words))
-        self.unseen.append(_unseen(tag, attrs))
-        self.hidden += self.unseen[-1]
-        self.links += tag == "a"
+        ends = {t for t in ("p" if tag in CLOSES_P else "", tag if tag in SAME_CLOSES else "") if t and self.near[self.barriers, t]}
+        if ends:
+            self._pop_to(next(k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] in ends))
+        words = [w for n, v in attrs if v and n in ("class", "id", "role") for w in re.findall(r"[a-z]+", v.lower())]
+        self._push(tag, _unseen(tag, attrs), words)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -89,23 +121,19 @@ class _Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                if tag not in INLINE:
-                    self.flush()
-                self._pop_to(k)
-                return
         if tag not in INLINE:
             self.flush()
+        if self.count[tag]:
+            self._pop_to(next(k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == tag))
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             self.text.append(data)
-            if self.links:
+            if self.count["a"]:
                 self.linked += len(data.strip())
 
 
-def blocks(html: str | None) -> list[tuple[str, tuple[tuple[str, tuple[str, ...]], ...], int]]:
+def blocks(html: str | None) -> list[tuple[str, Place, int]]:
     """The page's text blocks in order; white space inside one is one space, references are decoded."""
     p = _Blocks()
     p.feed(html or "")
@@ -114,16 +142,11 @@ def blocks(html: str | None) -> list[tuple[str, tuple[tuple[str, tuple[str, ...]
     return p.found
 
 
-def features(block: tuple[str, tuple[tuple[str, tuple[str, ...]], ...], int]) -> list[str]:
-    """Names of the features that hold for a block: ancestors, their class words, and its text."""
-    text, chain, linked = block
-    out = ["bias"]
-    out += {f"in:{tag}" for tag, _ in chain}
-    out += {f"word:{w}" for _, words in chain for w in words}
-    out.append(f"leaf:{chain[-1][0] if chain else ''}")
+def own_features(block: tuple[str, Place, int]) -> list[str]:
+    """Names of the features of a block's text and innermost element."""
+    text, place, linked = block
     n = len(text)
-    out.append(f"size:{min(8, n.bit_length())}")
-    out.append(f"links:{(4 * min(linked, n)) // n}")
+    out = ["bias", f"leaf:{place.tag}", f"size:{min(8, n.bit_length())}", f"links:{(4 * min(linked, n)) // n}"]
     if "©" in text or "copyright" in text.lower():
         out.append("copyright")
     if text[-1] in ".!?…\"”":
@@ -131,21 +154,54 @@ def features(block: tuple[str, tuple[tuple[str, tuple[str, ...]], ...], int]) ->
     return out
 
 
+def features(block: tuple[str, Place, int]) -> list[str]:
+    """All features of a block: its ancestors' tags and class words, and its own. For training; it walks to the root."""
+    out, place = own_features(block), block[1]
+    while place is not None:
+        out += place.fresh
+        place = place.parent
+    return out
+
+
 class Chain:
     """A two-state conditional random field: weights by feature and state, and by transition."""
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, moves: np.ndarray):
         self.index, self.weights, self.moves = index, weights, moves
 
+    def _sum(self, fs: list[str]) -> np.ndarray:
+        get = self.index.get
+        return self.weights[[k for f in fs if (k := get(f)) is not None]].sum(axis=0)
+
+    def _value(self, place: Place) -> np.ndarray:
+        """What a place's ancestors and itself add to each state; kept with each place, so a page's blocks share it."""
+        above = []
+        while place.value is None:
+            above.append(place)
+            if place.parent is None:
+                break
+            place = place.parent
+        value = place.value
+        for p in reversed(above):
+            value = p.value = self._sum(p.fresh) if value is None else value + self._sum(p.fresh) if p.fresh else value
+        return value
+
     def potentials(self, page: list[list[str]]) -> np.ndarray:
-        get, w = self.index.get, self.weights
-        return np.array([w[[k for f in fs if (k := get(f)) is not None]].sum(axis=0) for fs in page]).reshape(-1, 2)
+        return np.array([self._sum(fs) for fs in page]).reshape(-1, 2)
 
     def viterbi(self, page: list[list[str]]) -> list[int]:
-        """The most probable states; equal paths go to content."""
-        if not page:
+        """The most probable states of blocks given by all their features."""
+        return self.best(self.potentials(page))
+
+    def label(self, page: list[tuple[str, Place, int]]) -> list[int]:
+        """The most probable states of a page's blocks, whose ancestors are added up once for all of them."""
+        return self.best(np.array([self._value(b[1]) + self._sum(own_features(b)) for b in page]).reshape(-1, 2))
+
+    def best(self, potentials: np.ndarray) -> list[int]:
+        """The path of greatest sum; equal paths go to content."""
+        if not len(potentials):
             return []
-        u = self.potentials(page).tolist()
+        u = potentials.tolist()
         (m00, m01), (m10, m11) = self.moves.tolist()
         a, b, back = u[0][0], u[0][1], []
         for p, q in u[1:]:
@@ -328,7 +384,7 @@ def _fit(pages: Iterable[tuple[str, list[int]]]) -> Chain:
 
 def main_text(html: str | None, model: Chain) -> str:
     found = blocks(html)
-    return " ".join(b[0] for b, y in zip(found, model.viterbi([features(b) for b in found]), strict=True) if y)
+    return " ".join(b[0] for b, y in zip(found, model.label(found), strict=True) if y)
 
 
 def extract(pages: DataFrame, model: Chain, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

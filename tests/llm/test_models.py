@@ -94,3 +94,28 @@ def test_hidden_elements_plain_pages_and_reader_comments():
     assert html_extract.main_text(f"<html><body><div><div>{prose}</div><div>{prose}</div></div></body></html>", model) == f"{prose} {prose}"
     junk = "<p hidden>secret</p><p style='display: none'>gone</p><p aria-hidden='true'>x</p><div class='feedback'><p>I like it, thanks for writing.</p></div>"
     assert html_extract.main_text(f"<article><p>{prose}</p>{junk}</article>", model) == prose
+
+
+def test_deep_nesting_is_linear():
+    """100,000 open elements, of one name, of many class words, of elements that ends are looked for through: seconds and under 100 MB."""
+    import time
+    import tracemalloc
+
+    model = html_extract.fit(html_extract.labelled_pages(30))
+    n = 100_000
+    pages = ["<div>" * n + "deep", "".join(f"<div>w{i}" for i in range(n)), "".join(f"<div class='c{'abcdefghij'[i % 10] * (i % 40)}'>w" for i in range(n)), "<p><select>" + "<i><h1>x" * (n // 2), "<div>" * n + "</b>x" * n]
+    for page in pages:
+        began = time.monotonic()
+        assert len(html_extract.main_text(page, model)) >= 0
+        assert time.monotonic() - began < 30
+    tracemalloc.start()
+    html_extract.main_text(pages[1], model)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+def test_shared_ancestors_add_up_as_all_features():
+    model = html_extract.fit(html_extract.labelled_pages(30))
+    for page, _ in html_extract.labelled_pages(40, seed=5):
+        found = html_extract.blocks(page)
+        assert model.label(found) == model.viterbi([html_extract.features(b) for b in found])
