@@ -45,7 +45,7 @@ class Place:
 
     def __init__(self, parent: Place | None, tag: str, fresh: list[str]):
         self.parent, self.tag, self.fresh = parent, tag, fresh
-        self.value: np.ndarray | None = None
+        self.value: tuple[float, float] | None = None
 
 
 class _Blocks(HTMLParser):
@@ -168,22 +168,30 @@ class Chain:
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, moves: np.ndarray):
         self.index, self.weights, self.moves = index, weights, moves
-
-    def _sum(self, fs: list[str]) -> np.ndarray:
-        get = self.index.get
-        return self.weights[[k for f in fs if (k := get(f)) is not None]].sum(axis=0)
-
-    def _value(self, place: Place) -> np.ndarray:
+        self.pairs = {f: tuple(weights[k].tolist()) for f, k in index.items()}
+
+    def _sum(self, fs: Iterable[str], start: tuple[float, float] = (0.0, 0.0)) -> tuple[float, float]:
+        a, b = start
+        get = self.pairs.get
+        for f in fs:
+            if w := get(f):
+                a += w[0]
+                b += w[1]
+        return a, b
+
+    def _value(self, place: Place) -> tuple[float, float]:
         """What a place's ancestors and itself add to each state; kept with each place, so a page's blocks share it."""
         above = []
-        while place.value is None:
-            above.append(place)
-            if place.parent is None:
+        value = (0.0, 0.0)
+        at: Place | None = place
+        while at is not None:
+            if at.value is not None:
+                value = at.value
                 break
-            place = place.parent
-        value = place.value
+            above.append(at)
+            at = at.parent
         for p in reversed(above):
-            value = p.value = self._sum(p.fresh) if value is None else value + self._sum(p.fresh) if p.fresh else value
+            value = p.value = self._sum(p.fresh, value)
         return value
 
     def potentials(self, page: list[list[str]]) -> np.ndarray:
@@ -191,17 +199,16 @@ class Chain:
 
     def viterbi(self, page: list[list[str]]) -> list[int]:
         """The most probable states of blocks given by all their features."""
-        return self.best(self.potentials(page))
+        return self.best([self._sum(fs) for fs in page])
 
     def label(self, page: list[tuple[str, Place, int]]) -> list[int]:
         """The most probable states of a page's blocks, whose ancestors are added up once for all of them."""
-        return self.best(np.array([self._value(b[1]) + self._sum(own_features(b)) for b in page]).reshape(-1, 2))
+        return self.best([self._sum(own_features(b), self._value(b[1])) for b in page])
 
-    def best(self, potentials: np.ndarray) -> list[int]:
-        """The path of greatest sum; equal paths go to content."""
-        if not len(potentials):
+    def best(self, u: list[tuple[float, float]]) -> list[int]:
+        """The path of greatest sum over the blocks' potentials; equal paths go to content."""
+        if not u:
             return []
-        u = potentials.tolist()
         (m00, m01), (m10, m11) = self.moves.tolist()
         a, b, back = u[0][0], u[0][1], []
         for p, q in u[1:]:
