@@ -347,4 +347,4 @@ def q_module_findings(v: Views) -> DataFrame:
     return f.where(FI.valid(F.col("osv"), F.col("trace"))).select(FI.top()["module"].alias("path"), FI.top()["version"].alias("version"), "osv", F.concat(F.lit("Found "), F.col("osv")).alias("note"))
 
 
-from . import scans, streams  # noqa: E402, F401
+from . import reports, scans, streams  # noqa: E402, F401

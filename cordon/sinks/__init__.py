@@ -1,13 +1 @@
 """Where findings go: JSON messages, a text report, SARIF and OpenVEX documents."""
-
-from __future__ import annotations
-
-from typing import Protocol
-
-from pyspark.sql import DataFrame
-
-
-class Sink(Protocol):
-    """Takes a scan's tables (config, sbom, progress, osv, finding) and renders or writes them."""
-
-    def flush(self, config: dict, entries: DataFrame, findings: DataFrame) -> object: ...

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.findings import most_specific, top, with_level
 from ..schema import text
+from ..tables import written
+from . import lines
 
 
 def messages(config: DataFrame | None = None, sbom: DataFrame | None = None, entries: DataFrame | None = None, findings: DataFrame | None = None) -> DataFrame:
@@ -78,12 +81,27 @@ def sarif_rules(entries: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
+def _json(*columns: str) -> Column:
+    return F.to_json(F.struct(*columns))
+
+
+def sarif_lines(entries: DataFrame, findings: DataFrame, scan_level: str, tool: str = "cordon", version: str = "0", binary: bool = False) -> DataFrame:
+    """The document of a scan as ordered lines, one for each rule (by id) and result (by rule); of entries with one id the least text counts."""
+    spark = findings.sparkSession
+    rules = sarif_rules(entries, findings)
+    rules = lines.numbered(rules.groupBy("id").agg(F.min(_json(*rules.columns)).alias("line")), "id")
+    results = sarif_results(findings, scan_level, binary)
+    results = lines.numbered(results.select("ruleId", _json(*results.columns).alias("line")), "ruleId")
+    driver = json.dumps({"name": tool, "semanticVersion": version}, ensure_ascii=False)[:-1]
+    head = f'{{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{{"tool": {{"driver": {driver}, "rules": ['
+    return lines.joined(
+        lines.fixed(spark, 0, head), lines.elements(1, rules), lines.fixed(spark, 2, ']}}, "results": ['), lines.elements(3, results), lines.fixed(spark, 4, "]}]}")
+    )
+
+
 def sarif(entries: DataFrame, findings: DataFrame, scan_level: str, tool: str = "cordon", version: str = "0", binary: bool = False) -> str:
-    """The document of one scan, rendered on the driver: its size is that of the scan's entries."""
-    rules = [json.loads(r[0]) for r in sarif_rules(entries, findings).orderBy("id").select(F.to_json(F.struct("*"))).collect()]
-    results = [json.loads(r[0]) for r in sarif_results(findings, scan_level, binary).orderBy("ruleId").select(F.to_json(F.struct("*"))).collect()]
-    run = {"tool": {"driver": {"name": tool, "semanticVersion": version, "rules": rules}}, "results": results}
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [run]}, indent=2, ensure_ascii=False)
+    """The document of a small scan as a string; for a large one write ``sarif_lines``."""
+    return lines.text_of(sarif_lines(entries, findings, scan_level, tool, version, binary))
 
 
 def vex_statements(entries: DataFrame, findings: DataFrame, scan_level: str, purl_type: str) -> DataFrame:
@@ -96,21 +114,62 @@ def vex_statements(entries: DataFrame, findings: DataFrame, scan_level: str, pur
     return rows.join(e, "osv", "left").select(F.col("osv").alias("id"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), text(F.col("description")).alias("description"), "subcomponents", "status", "justification")
 
 
-def open_vex(entries: DataFrame, findings: DataFrame, scan_level: str, purl_type: str, author: str, timestamp: str, tool: str = "cordon") -> str:
-    """The document of one scan; its id is the digest of its content without the time."""
-    statements = []
-    for r in vex_statements(entries, findings, scan_level, purl_type).orderBy("id").collect():
-        s = {
-            "vulnerability": {"name": r["id"], "description": r["description"], "aliases": r["aliases"]},
-            "products": [{"@id": "Unknown Product", "subcomponents": [{"@id": x} for x in r["subcomponents"]]}],
-            "status": r["status"],
-        }
-        if r["justification"]:
-            s |= {"justification": r["justification"]}
-        statements.append(s)
-    body = {"@context": "https://openvex.dev/ns/v0.2.0", "author": author, "version": 1, "tooling": tool, "statements": statements}
-    digest = hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
-    return json.dumps({"@id": f"{tool}/vex:{digest}", "timestamp": timestamp} | body, indent=2, ensure_ascii=False)
+def canonical(document: Column) -> Column:
+    """A struct as compact JSON in one form only: fields in order, null ones left out, ``<>&`` and line separators escaped, control characters in small hex digits."""
+    j = F.to_json(document)
+    for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
+        j = F.regexp_replace(j, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
+    for c in "<>&\u2028\u2029":
+        j = F.replace(j, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+    return j
+
+
+def vex_canonical(statements: DataFrame, tool: str, link: str = "") -> DataFrame:
+    """(id, line): each statement of ``vex_statements`` as canonical JSON. Empty fields are left out; ``link`` comes before an id to make its address."""
+    some = lambda c: F.when(F.size(c) > 0, c)
+    aliases = some(F.col("aliases"))
+    address = F.when(F.lit(link) != "", F.concat(F.lit(link), "id"))
+    # fixed value: the texts of statements
+    impact = F.when(F.col("status") == "not_affected", F.lit(f"{tool} determined that the vulnerable code isn't called"))
+    parts = F.transform("subcomponents", lambda x: F.struct(x.alias("@id")))
+    body = F.struct(
+        F.struct(address.alias("@id"), F.col("id").alias("name"), F.when(F.col("description") != "", F.col("description")).alias("description"), aliases.alias("aliases")).alias("vulnerability"),
+        F.array(F.struct(F.lit("Unknown Product").alias("@id"), some(parts).alias("subcomponents"))).alias("products"),
+        "status", "justification", impact.alias("impact_statement"),
+    )
+    return statements.select("id", canonical(body).alias("line"))
+
+
+def _quoted(value: str) -> str:
+    out = json.dumps(value, ensure_ascii=False)
+    return reduce(lambda t, c: t.replace(c, f"\\u{ord(c):04x}"), "<>&\u2028\u2029", out)
+
+
+def open_vex_lines(entries: DataFrame, findings: DataFrame, scan_level: str, purl_type: str, author: str, timestamp: str, tool: str = "cordon", link: str = "") -> DataFrame:
+    """The document of a scan as ordered lines, a statement each. Its id is the SHA-256 of its canonical JSON with the time set to zero.
+
+    The digest is a sum over the text in order, so the driver runs it over the statements as they stream by, and holds none of them.
+    """
+    spark = findings.sparkSession
+    each = vex_canonical(vex_statements(entries, findings, scan_level, purl_type), tool, link).groupBy("id").agg(F.min("line").alias("line"))
+    rows = written(lines.numbered(each, "id").select("n", "line"), "statements")
+    quoted = _quoted
+    head = f'"author":{quoted(author)},"timestamp":%s,"version":1,"tooling":{quoted(tool)}'
+    context = '{"@context":"https://openvex.dev/ns/v0.2.0",'
+    digest = hashlib.sha256((context + head % '"0001-01-01T00:00:00Z"').encode())
+    mark = ',"statements":['
+    for r in rows.orderBy("n").toLocalIterator():
+        digest.update((mark + r["line"]).encode())
+        mark = ","
+    some = mark == ","
+    digest.update(b"]}" if some else b"}")
+    first = f'{context}"@id":{quoted(f"{tool}/vex:{digest.hexdigest()}")},{head % quoted(timestamp)}'
+    return lines.joined(lines.fixed(spark, 0, first + (',"statements":[' if some else "")), lines.elements(1, rows), lines.fixed(spark, 2, "]}" if some else "}"))
+
+
+def open_vex(entries: DataFrame, findings: DataFrame, scan_level: str, purl_type: str, author: str, timestamp: str, tool: str = "cordon", link: str = "") -> str:
+    """The document of a small scan as a string; for a large one write ``open_vex_lines``."""
+    return lines.text_of(open_vex_lines(entries, findings, scan_level, purl_type, author, timestamp, tool, link))
 
 
 def levels(findings: DataFrame) -> DataFrame:
