@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import text
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """An expression over a value that it names several times, which is computed once for a row."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _elements(path: Column) -> Column:
     """A cleaned path's elements: without empty ones and ``.``; ``..`` takes the element before it, stays at the start of a relative path, and is nothing at a root."""
     rooted = F.startswith(path, F.lit("/"))
@@ -27,22 +34,28 @@ def _joined(rooted: Column, elements: Column) -> Column:
 
 def clean(path: Column) -> Column:
     """The shortest equal path; an empty one is ``.``."""
-    p = text(path)
-    return _joined(F.startswith(p, F.lit("/")), _elements(p))
+    return _once(text(path), lambda p: _once(_elements(p), lambda e: _joined(F.startswith(p, F.lit("/")), e)))
 
 
 def relative(base: Column, path: Column) -> Column:
     """A path as seen from a folder; null where one is rooted and the other is not, or the folder lies above by an unknown name (``..``)."""
-    b, p = text(base), text(path)
-    be, pe = _elements(b), _elements(p)
-    n = F.least(F.size(be), F.size(pe))
-    same = F.transform(F.arrays_zip(F.slice(be, F.lit(1), n).alias("x"), F.slice(pe, F.lit(1), n).alias("y")), lambda z: z["x"] == z["y"])
-    first = F.array_position(same, False).cast("int")
-    common = F.when(first > 0, first - 1).otherwise(n)
-    left = F.slice(be, common + 1, F.size(be))
-    out = F.concat(F.transform(left, lambda e: F.lit("..")), F.slice(pe, common + 1, F.size(pe)))
-    known = (F.startswith(b, F.lit("/")) == F.startswith(p, F.lit("/"))) & ~F.array_contains(left, "..")
-    return F.when(known, F.when(F.size(out) == 0, ".").otherwise(F.array_join(out, "/")))
+
+    def parts(t: Column) -> Column:
+        return F.struct(*[F.startswith(t[k], F.lit("/")).alias(f"{k}_rooted") for k in "bp"], *[_elements(t[k]).alias(k) for k in "bp"])
+
+    def seen(t: Column) -> Column:
+        n = F.least(F.size(t["b"]), F.size(t["p"]))
+        same = F.transform(F.arrays_zip(F.slice(t["b"], F.lit(1), n).alias("x"), F.slice(t["p"], F.lit(1), n).alias("y")), lambda z: z["x"] == z["y"])
+        first = F.coalesce(F.nullif(F.array_position(same, False).cast("int"), F.lit(0)) - 1, n)
+        return _once(first, lambda k: from_common(t, k))
+
+    def from_common(t: Column, k: Column) -> Column:
+        left = F.slice(t["b"], k + 1, F.size(t["b"]))
+        out = F.concat(F.transform(left, lambda e: F.lit("..")), F.slice(t["p"], k + 1, F.size(t["p"])))
+        known = (t["b_rooted"] == t["p_rooted"]) & ~F.array_contains(left, "..")
+        return F.when(known, F.when(F.size(out) == 0, ".").otherwise(F.array_join(out, "/")))
+
+    return _once(F.struct(text(base).alias("b"), text(path).alias("p")), lambda t: _once(parts(t), seen))
 
 
 def module_directory(directory: Column, path: Column, module: Column) -> Column:
@@ -64,6 +77,6 @@ def module_file(path: Column, directory: Column, module: Column, separator: str
 
 def shorter(path: Column, current: Column) -> Column:
     """A path relative to the current folder if that has fewer elements; else as it is."""
-    r = relative(current, path)
-    fewer = F.size(F.split(r, "/")) < F.size(F.split(text(path), "/"))
-    return F.when(text(path) == "", "").when(F.coalesce(fewer, F.lit(False)), r).otherwise(path)
+    whole = F.size(F.split(text(path), "/"))
+    seen = _once(relative(current, path), lambda r: F.when(F.size(F.split(r, "/")) < whole, r).otherwise(path))
+    return F.when(text(path) == "", "").otherwise(seen)
