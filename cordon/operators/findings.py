@@ -129,3 +129,14 @@ def top_symbols(symbols: DataFrame, k: int = 5) -> DataFrame:
     n = symbols.groupBy("osv", "path").agg(F.count("*").alias("total"))
     ranked = symbols.withColumn("rank", F.row_number().over(own.orderBy("symbol"))).where(F.col("rank") <= k)
     return ranked.join(n, ["osv", "path"]).select("osv", "path", "symbol", "rank", F.greatest(F.col("total") - k, F.lit(0)).alias("others"))
+
+
+def flags(findings: DataFrame) -> DataFrame:
+    """(osv, called, imported, required): whether any finding of an entry has a function, a package, a module in its top frame."""
+    has = lambda c: F.coalesce(F.bool_or(text(top()[c]) != ""), F.lit(False))
+    return findings.groupBy("osv").agg(has("function").alias("called"), has("package").alias("imported"), has("module").alias("required"))
+
+
+def stable_order() -> list[Column]:
+    """The order of findings that does not depend on how they came: entry, greatest first, then the top frame's module, package, receiver and function."""
+    return [F.desc("osv"), *[text(top()[c]) for c in ("module", "package", "receiver", "function")]]

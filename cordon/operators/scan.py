@@ -129,3 +129,14 @@ def converted(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = messages.where("finding IS NOT NULL").select("ordinal", "finding.*")
     ok = F.when(FI.valid(F.col("osv"), F.col("trace")), F.col("osv")).otherwise(F.raise_error(F.concat(F.lit("invalid finding at message "), F.col("ordinal").cast("string"))))
     return last.select("e.*"), rows.withColumn("osv", ok)
+
+
+def sent_entries(mods: DataFrame, entries: DataFrame) -> DataFrame:
+    """The whole entries, unfiltered, that name a module of the program, and of how many of its modules each is sent (``times``).
+
+    Withdrawn entries and those of other versions and platforms are among them. A replaced module is looked up under its replacement. An entry is
+    one row however many modules it has: as a row for each, its own list of modules would come once for each of them.
+    """
+    known = matching.replaced(mods).select("path").distinct()
+    named = affected_rows(entries).select(F.col("osv").alias("id"), F.col("module").alias("path")).distinct().join(known, "path")
+    return entries.join(named.groupBy("id").agg(F.count("*").alias("times")), "id")

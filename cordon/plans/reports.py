@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, symbols
-from ..operators import addresses
+from ..operators import addresses, scan
+from ..operators import findings as FI
 from ..sinks import documents, lines, report
 from ..tables import shared_dir
 from . import query
@@ -114,3 +115,24 @@ def q_report_lines(v: Views) -> DataFrame:
     own = rows.where("section IN (9, 13, 17)").select(level.cast("int").alias("level"), "n", head.alias("number"), F.regexp_extract("line", r"\AVulnerability #(\d+): (\S+)", 2).alias("osv"))
     each = own.groupBy("level", "n").agg(F.max("osv").alias("osv"), F.max("number").cast("long").alias("number"), F.count_if(F.col("number") == "").alias("modules"))
     return each.select("osv", "level", "number", "modules")
+
+
+@query("""
+SELECT o.id, 'Flaw ' || o.id AS summary, count(*) AS modules, count(*) FILTER (WHERE f.p % 3 <> 0) AS times FROM {u_affected} f JOIN {u_osv} o ON o.s = f.s GROUP BY o.id HAVING times > 0""")
+def q_sent_entries(v: Views) -> DataFrame:
+    """Entries sent with a scan of a program that has two thirds of the modules."""
+    mods = v["u_module"].where("p % 3 <> 0").select("path", "version", F.lit(None).cast("struct<path:string,version:string>").alias("replace"))
+    return scan.sent_entries(mods, v.entries()).select("id", "summary", F.size("affected").cast("long").alias("modules"), "times")
+
+
+@query("SELECT osv, bool_or(level = 3) AS called, bool_or(level >= 2) AS imported, true AS required FROM {u_finding} GROUP BY osv")
+def q_level_flags(v: Views) -> DataFrame:
+    return FI.flags(v.findings())
+
+
+@query("""
+SELECT osv, module, row_number() OVER (ORDER BY osv DESC, module, CASE WHEN level > 1 THEN package ELSE '' END, CASE WHEN level = 3 AND n % 2 = 0 THEN '*Client' ELSE '' END,
+  CASE WHEN level = 3 THEN 'Run' || CAST(n % 5 AS STRING) || '$1' ELSE '' END) - 1 AS n FROM {u_finding}""")
+def q_stable_order(v: Views) -> DataFrame:
+    """The place of each finding, whatever order they came in."""
+    return lines.numbered(v.findings().drop("ordinal"), *FI.stable_order()).select("osv", FI.top()["module"].alias("module"), "n")

@@ -180,3 +180,17 @@ No other vulnerabilities found.
 Your code is affected by 1 vulnerability from 1 module.
 """
     assert got == want, got
+
+
+def test_sent_entries_and_flags(spark):
+    from cordon.operators import findings, scan
+    from cordon.schema import ENTRY
+
+    names = lambda *xs: [{"package": {"name": x}} for x in xs]
+    e = spark.createDataFrame([{"id": "A", "affected": names("a", "b", "b")}, {"id": "B", "affected": names("old")}, {"id": "C", "affected": []}, {"id": "D", "affected": names("fork")}, {"id": "E"}], ENTRY)
+    mods = spark.createDataFrame([("a", "v1", None), ("b", "v1", None), ("old", "v1", ("fork", "v2"))], "path string, version string, replace struct<path:string,version:string>")
+    got = {r.id: r.times for r in scan.sent_entries(mods, e).collect()}
+    assert got["A"] == 2 and got["D"] == 1 and "C" not in got and "E" not in got
+    assert sorted(tuple(r) for r in findings.flags(found(spark)).collect()) == [("V-1", True, True, True), ("V-2", False, True, True), ("V-3", False, False, True)]
+    order = [(r.osv, r.trace[0].package or "") for r in found(spark).orderBy(*findings.stable_order()).collect()]
+    assert order == [("V-3", ""), ("V-2", ""), ("V-2", "dep.org/q"), ("V-1", ""), ("V-1", "dep.org/p"), ("V-1", "dep.org/p")]
