@@ -170,6 +170,35 @@ def test_decontamination_of_texts_shorter_than_the_item(spark):
     assert {items[k][0] for _, k in want} == {3, 4, 5}
 
 
+def test_decontamination_counts_every_window(spark):
+    """Few different words, so shingles repeat in texts and items, and windows that no shared shingle aligns are the best ones."""
+    rng = random.Random(36)
+    some = lambda n: " ".join(rng.choice("ab") for _ in range(n))
+    items = [(k, some(rng.randint(3, 12))) for k in range(12)] + [(12, "a " * 30), (13, "a b " * 12)]
+    texts = [(i, some(rng.randint(1, 90))) for i in range(20)] + [(20, "a " * 90), (21, "a " * 20 + "b " + "a " * 20)]
+    for k, x in items[:6]:
+        w = x.split()
+        texts.append((30 + k, " ".join([*w[: len(w) // 2], "zz", *w[len(w) // 2 :]])))
+    padded = lambda t, x: " ".join([*t.split(), *["-zz"] * (len(x.split()) - len(t.split()))])
+    want = {(i, k): c for i, t in texts for k, x in items for c in [contained(padded(t, x), x)] if c >= 0.8}
+    found = decontaminate.find(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.similarity for r in found} == pytest.approx(want) and len(want) > 60
+    by = dict(texts)
+    assert all(contained(padded(" ".join(by[r.doc_id].split()[r.word_at : r.word_at + r.n_words]), items[r.item_id][1]), items[r.item_id][1]) == pytest.approx(r.similarity) for r in found)
+
+
+def test_decontamination_of_long_items_and_shared_passages(spark):
+    rng = random.Random(46)
+    long, passage = words(rng, 20_000), words(rng, 60)
+    items = [(0, long)] + [(k, f"{words(rng, 6)} {passage} {words(rng, 6)}") for k in range(1, 120)]
+    texts = [(0, f"x y {long} z"), (1, " ".join(long.split()[:15_000])), (2, f"{passage} " * 50), (3, items[7][1]), (3, items[8][1]), (3, items[7][1])]
+    found = decontaminate.find(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): (r.similarity, r.word_at) for r in found}
+    assert got[0, 0] == (1.0, 2) and got[3, 7] == (1.0, 0) and got[3, 8] == (1.0, 0)
+    # the passage alone is 56 of 68 shingles
+    assert set(got) == {(0, 0)} | {(d, k) for d in (2, 3) for k in range(1, 120)} and got[2, 1][0] == pytest.approx(56 / 68)
+
+
 def test_multi_index_is_exact():
     rng = np.random.default_rng(0)
     codes = rng.integers(0, 256, (400, 32), np.uint8)
