@@ -11,6 +11,10 @@ from ..schema import ENTRY
 
 TABLES = ("part", "supplier", "lineitem", "events")
 
+#: The fix, and the second introduction, of an affected row.
+_FIX = """CASE WHEN (s + p) % 4 <> 1 THEN 1 ELSE 0 END AS has_fix, s % 3 AS fa, (s * 7 + p) % 20 AS fb,
+          CASE WHEN (s + p) % 4 <> 1 AND (s + p) % 5 = 0 THEN 1 ELSE 0 END AS again, s % 3 + 1 AS ia"""
+
 VIEWS: dict[str, str] = {
     "u_module": """
         SELECT p_partkey AS p, 'example.com/g' || CAST(p_partkey % 20 AS STRING) || '/m' || CAST(p_partkey AS STRING) AS path,
@@ -26,10 +30,7 @@ VIEWS: dict[str, str] = {
           CASE WHEN s_suppkey % 11 = 10 THEN 1 ELSE 0 END AS withdrawn, '2024-01-' || lpad(CAST(s_suppkey % 28 + 1 AS STRING), 2, '0') AS day
         FROM {supplier}""",
     "u_affected": "SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM {lineitem}",
-    "u_fix": """
-        SELECT s, p, CASE WHEN (s + p) % 4 <> 1 THEN 1 ELSE 0 END AS has_fix, s % 3 AS fa, (s * 7 + p) % 20 AS fb,
-          CASE WHEN (s + p) % 4 <> 1 AND (s + p) % 5 = 0 THEN 1 ELSE 0 END AS again, s % 3 + 1 AS ia
-        FROM {u_affected}""",
+    "u_fix": f"SELECT s, p, {_FIX} FROM {{u_affected}}",
     "u_symbol": """
         SELECT DISTINCT l_suppkey AS s, l_partkey AS p,
           CASE WHEN l_linenumber = 7 THEN 'T.M7' WHEN l_linenumber % 2 = 1 THEN 'F' || CAST(l_linenumber AS STRING)
@@ -106,7 +107,6 @@ class Views:
     def entries(self) -> DataFrame:
         """Nested entries: one range, packages with platforms and symbols for each affected module."""
         none = F.lit(None).cast("string")
-        f = self["u_fix"]
         s = lambda *c: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in c])
         n = lambda c: F.col(c).cast("string")
         event = lambda i, x: F.struct(i.alias("introduced"), x.alias("fixed"))
@@ -120,7 +120,9 @@ class Views:
         )
         path = s("example.com/g", (F.col("p") % 20).cast("string"), "/m", n("p"))
         empty = F.array().cast("array<string>")
+        # each affected row has a symbol, so one grouping of one scan gives the rows and their symbols
         symbols = self["u_symbol"].groupBy("s", "p").agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
+        rows = self.spark.sql(f"SELECT *, {_FIX} FROM {{symbols}}", symbols=symbols)
         package = F.struct(
             F.when(F.col("p") % 2 == 0, path).otherwise(s(path, "/sub")).alias("path"),
             F.when(F.col("p") % 3 == 0, F.array(F.lit("linux"))).when(F.col("p") % 3 == 1, F.array(F.lit("windows"))).otherwise(empty).alias("goos"),
@@ -128,7 +130,7 @@ class Views:
             F.when(F.col("p") % 4 == 0, empty).otherwise(F.col("symbols")).alias("symbols"),
         )
         imports = F.when(F.col("p") % 9 == 0, F.array().cast("array<struct<path:string,goos:array<string>,goarch:array<string>,symbols:array<string>>>")).otherwise(F.array(package))
-        affected = f.join(symbols, ["s", "p"]).select(
+        affected = rows.select(
             "s", "p",
             F.struct(
                 F.struct(path.alias("name"), F.lit("Go").alias("ecosystem")).alias("package"),
@@ -137,13 +139,13 @@ class Views:
             ).alias("a"),
         )
         nested = affected.groupBy("s").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "a"))), lambda x: x["a"]).alias("affected"))
-        rows = self["u_osv"].join(nested, "s").select(
+        out = self["u_osv"].join(nested, "s").select(
             F.lit("1.3.1").alias("schema_version"), "id", F.to_timestamp("day").alias("modified"), F.to_timestamp("day").alias("published"),
             F.when(F.col("withdrawn") == 1, F.to_timestamp(F.lit("2020-01-01"))).alias("withdrawn"),
             F.array(F.concat(F.lit("CVE-"), F.col("id"))).alias("aliases"), F.concat(F.lit("Flaw "), F.col("id")).alias("summary"), F.lit("").alias("details"), "affected",
         )
-        have = set(rows.columns)
-        return rows.select(*[F.col(x.name).cast(x.dataType) if x.name in have else F.lit(None).cast(x.dataType).alias(x.name) for x in self.spark.createDataFrame([], ENTRY).schema])
+        have = set(out.columns)
+        return out.select(*[F.col(x.name).cast(x.dataType) if x.name in have else F.lit(None).cast(x.dataType).alias(x.name) for x in self.spark.createDataFrame([], ENTRY).schema])
 
     def findings(self) -> DataFrame:
         """(ordinal, osv, fixed_version, trace) of the finding stream."""
