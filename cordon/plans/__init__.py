@@ -49,7 +49,7 @@ FROM {{u_module}} m JOIN {{u_fix}} f ON m.p = f.p JOIN {{u_osv}} o ON o.s = f.s
 def q_by_modules(v: Views) -> DataFrame:
     entries = v.entries()
     requests = v["u_module"].select(F.col("p").alias("ordinal"), "path", F.when(F.col("ok") == 1, F.col("version")).otherwise("").alias("version"))
-    return advisories.by_modules(requests, advisories.build_index(entries), entries).select("path", "version", "id")
+    return advisories.by_modules(requests, advisories.flat_index(entries)).select("path", "version", "id")
 
 
 @query(f"SELECT path, version, osv FROM {_MATCH}")

@@ -115,7 +115,7 @@ FROM {{u_module}} m LEFT JOIN {{u_fix}} f ON m.p = f.p LEFT JOIN {{u_osv}} o ON
 def q_query_mode(v: Views) -> DataFrame:
     entries = v.entries()
     requests = v["u_module"].select(F.col("p").alias("ordinal"), "path", F.when(F.col("ok") == 1, F.col("version")).otherwise("").alias("version"))
-    found = advisories.by_modules(requests, advisories.build_index(entries), entries)
+    found = advisories.by_modules(requests, advisories.flat_index(entries))
     return scan.answered(requests, found).select("path", "version", F.array_join("ids", " ").alias("ids"))
 
 
@@ -125,7 +125,7 @@ SELECT path, id FROM (SELECT *, max(hit) OVER (PARTITION BY p) AS any_hit FROM j
 def q_by_modules_compat(v: Views) -> DataFrame:
     entries = v.entries()
     requests = v["u_module"].select(F.col("p").alias("ordinal"), "path", F.when(F.col("ok") == 1, F.col("version")).otherwise("").alias("version"))
-    return advisories.by_modules(requests, advisories.build_index(entries), entries, compat=True).select("path", "id")
+    return advisories.by_modules(requests, advisories.flat_index(entries), compat=True).select("path", "id")
 
 
 @query("""
@@ -216,7 +216,7 @@ def q_with_entries(v: Views) -> DataFrame:
 def q_first_of_each(v: Views) -> DataFrame:
     entries = v.entries()
     requests = v["u_module"].select(F.col("p").alias("ordinal"), "path", F.when(F.col("ok") == 1, F.col("version")).otherwise("").alias("version"))
-    return advisories.first_of_each(advisories.by_modules(requests, advisories.build_index(entries), entries))
+    return advisories.first_of_each(advisories.by_modules(requests, advisories.flat_index(entries)))
 
 
 @query("""

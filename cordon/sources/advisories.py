@@ -96,6 +96,19 @@ def index_rows(index: DataFrame) -> DataFrame:
     return rows.withColumn("fixed_key", semver.key(F.col("fixed")))
 
 
+def flat_index(entries: DataFrame) -> DataFrame:
+    """(path, id, modified, fixed, fixed_key, listings): the index as rows, with the keyed ranges of each time the entry lists the module.
+
+    Made in one grouping by module and entry, in which no module's entries come together.
+    """
+    rows = entries.select("id", "modified", F.posexplode("affected").alias("ordinal", "a")).select(
+        text(F.col("a.package.name")).alias("path"), "id", "modified", "ordinal", F.coalesce(F.col("a.ranges"), F.array()).alias("ranges")
+    )
+    rows = rows.withColumn("fixed", ranges.latest_fix(F.col("ranges"))).withColumn("keyed", ranges.keyed(F.col("ranges"))).drop("ranges")
+    once = rows.groupBy("path", "id").agg(F.max("modified").alias("modified"), text(F.max_by("fixed", "ordinal")).alias("fixed"), F.collect_list("keyed").alias("listings"))
+    return once.select("path", "id", "modified", "fixed", semver.key(F.col("fixed")).alias("fixed_key"), "listings")
+
+
 def checked_requests(requests: DataFrame) -> DataFrame:
     """Requests (ordinal, path, version) with the version's key; an empty path or a version that is none is an error."""
     version = text(F.col("version"))
@@ -104,17 +117,20 @@ def checked_requests(requests: DataFrame) -> DataFrame:
     return requests.select("ordinal", path.alias("path"), ok.alias("version")).withColumn("version_key", semver.key(F.col("version")))
 
 
-def by_modules(requests: DataFrame, index: DataFrame, entries: DataFrame, compat: bool = False) -> DataFrame:
+def by_modules(requests: DataFrame, index: DataFrame, entries: DataFrame | None = None, compat: bool = False) -> DataFrame:
     """Entries that affect requested modules: (ordinal, path, version, id), none for a request without any.
 
-    The index is met first and prunes entries whose latest fix is not above the version; then ranges decide. A request
+    The index prunes entries whose latest fix is not above the version; then ranges decide. A request
     without version takes every entry of its module. With ``compat``, a request keeps all pruned entries if any affects it.
+    ``index`` is a ``flat_index``, met by one join; or one of ``build_index``, as a database holds it, and its ``entries``, met by another.
     """
     wanted = checked_requests(requests)
-    pruned = wanted.join(index_rows(index), "path").where((F.col("version") == "") | (F.col("fixed") == "") | (F.col("version_key") < F.col("fixed_key")))
-    rows = affected_rows(entries).select("osv", F.col("module").alias("path"), ranges.keyed(F.col("ranges")).alias("keyed"))
-    met = pruned.join(rows.withColumnRenamed("osv", "id"), ["path", "id"])
-    hit = (F.col("version") == "") | ranges.affects(F.col("keyed"), F.col("version_key"))
+    met = wanted.join(index if entries is None else index_rows(index), "path")
+    met = met.where((F.col("version") == "") | (F.col("fixed") == "") | (F.col("version_key") < F.col("fixed_key")))
+    if entries is not None:
+        rows = affected_rows(entries).select(F.col("osv").alias("id"), F.col("module").alias("path"), F.array(ranges.keyed(F.col("ranges"))).alias("listings"))
+        met = met.join(rows, ["path", "id"])
+    hit = (F.col("version") == "") | F.exists("listings", lambda listing: ranges.affects(listing, F.col("version_key")))
     judged = met.withColumn("hit", hit)
     if compat:
         judged = judged.withColumn("hit", F.max("hit").over(Window.partitionBy("ordinal")))

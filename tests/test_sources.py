@@ -36,7 +36,10 @@ def tree(tmp_path):
 def answers(spark, entries, compat=False):
     requests = spark.createDataFrame([(0, "example.com/a", "v1.1.0"), (1, "example.com/a", "v1.5.0"), (2, "example.com/a", ""), (3, "example.com/b", "v0.5.0"), (4, "example.com/none", "v1.0.0")], "ordinal int, path string, version string")
     got = advisories.by_modules(requests, advisories.build_index(entries), entries, compat)
-    return sorted((r.ordinal, r.id) for r in got.collect())
+    flat = advisories.by_modules(requests, advisories.flat_index(entries), compat=compat)
+    out = sorted((r.ordinal, r.id) for r in got.collect())
+    assert out == sorted((r.ordinal, r.id) for r in flat.collect())
+    return out
 
 
 WANT = [(0, "A-1"), (0, "A-2"), (1, "A-2"), (2, "A-1"), (2, "A-2")]
