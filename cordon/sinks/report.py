@@ -27,11 +27,15 @@ def sections(entries: DataFrame, findings: DataFrame) -> DataFrame:
     )
     e = entries.select(F.col("id").alias("osv"), "affected", T.description(F.col("summary"), F.col("details")).alias("description"), text(F.col("database_specific.url")).alias("url"))
     joined = rows.join(e, "osv", "left")
-    return joined.select(
+    each = joined.select(
         "osv", "level", "module", F.coalesce(F.when(F.col("module") == "stdlib", F.col("package")), F.col("module")).alias("shown"),
         semver.module_version(F.col("module"), F.col("version")).alias("found"), semver.module_version(F.col("module"), F.col("fixed_version")).alias("fixed"),
         F.coalesce(T.platforms(F.col("affected"), F.col("module")), F.array().cast("array<string>")).alias("platforms"), "traces", text(F.col("description")).alias("description"), text(F.col("url")).alias("url"),
     )
+    # entries that share an id are one in a report: the platforms of all, the least text
+    return each.groupBy("osv", "level", "module", "shown", "found", "fixed", "traces").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("platforms")))).alias("platforms"), F.min("description").alias("description"), F.min("url").alias("url")
+    )
 
 
 def wrapped(c: Column, indent: str = "    ", width: int = WIDTH) -> Column:
