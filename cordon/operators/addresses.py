@@ -7,7 +7,7 @@ Addresses are longs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import written
@@ -16,47 +16,46 @@ from ..tables import written
 SPAN = 16
 
 
-def _last(rows: DataFrame, value: Column) -> DataFrame:
-    """Rows (program, at, rank, ...) with the last non-null value at or before each as ``held``: within its range, else that of the nearest range before.
+def _last(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows (program, at, rank, columns) with each column's last non-null value at or before the row: within its range, else that of the nearest range before.
 
     The window over ranges has one row for each range that holds anything of a program, so no task sees a program's own rows.
     """
-    placed = rows.withColumn("held", value).withColumn("span", F.shiftright("at", SPAN))
+    placed = rows.withColumn("span", F.shiftright("at", SPAN))
     within = Window.partitionBy("program", "span").orderBy("at", "rank").rowsBetween(Window.unboundedPreceding, 0)
-    ends = placed.groupBy("program", "span").agg(F.max(F.when(F.col("held").isNotNull(), F.struct("at", "rank", "held")))["held"].alias("end"))
+    ends = placed.groupBy("program", "span").agg(*[F.max(F.when(F.col(c).isNotNull(), F.struct("at", "rank", c)))[c].alias(c) for c in columns])
     before = Window.partitionBy("program").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("program", "span", F.last("end", ignorenulls=True).over(before).alias("carried"))
-    return placed.withColumn("held", F.last("held", ignorenulls=True).over(within)).join(carried, ["program", "span"]).withColumn("held", F.coalesce("held", "carried")).drop("carried", "span")
+    carried = ends.select("program", "span", *[F.last(c, ignorenulls=True).over(before).alias(f"{c}_carried") for c in columns])
+    held = placed.select("program", "at", "rank", "span", *[F.last(c, ignorenulls=True).over(within).alias(c) for c in columns])
+    return held.where("rank = 1").join(carried, ["program", "span"]).select("program", "at", *[F.coalesce(c, f"{c}_carried").alias(c) for c in columns])
 
 
-def _as_of(asked: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct (program, at) with the columns of the last row of ``known`` (program, start, columns) that starts at or before, as ``held``.
+def _as_of(asked: DataFrame, **known: tuple[DataFrame, list[str]]) -> DataFrame:
+    """Distinct (program, at) with a struct for each table (program, start, columns) of ``known``, under its name: its last row that starts at or before.
 
-    Of rows with the same start the greatest counts. A null address meets nothing.
+    Of rows with the same start the greatest counts. A null address meets nothing. All tables are met in one pass, so that each row is shuffled for it once.
     """
-    values = F.struct("start", *columns)
-    kept = known.where("start IS NOT NULL").groupBy("program", "start").agg(F.max(values).alias("value"))
-    both = kept.select("program", F.col("start").alias("at"), F.lit(0).alias("rank"), "value").unionByName(
-        asked.where("at IS NOT NULL").select("program", "at").distinct().withColumn("rank", F.lit(1)), allowMissingColumns=True
-    )
-    return _last(both, F.col("value")).where("rank = 1").select("program", "at", "held")
+    rows = asked.where("at IS NOT NULL").select("program", "at").distinct().withColumn("rank", F.lit(1))
+    for name, (table, columns) in known.items():
+        kept = table.where("start IS NOT NULL").groupBy("program", "start").agg(F.max(F.struct("start", *columns)).alias(name))
+        rows = rows.unionByName(kept.select("program", F.col("start").alias("at"), F.lit(0).alias("rank"), name), allowMissingColumns=True)
+    return _last(rows, *known)
 
 
 def functions_at(asked: DataFrame, functions: DataFrame) -> DataFrame:
     """``asked`` (program, address, ...) with ``fn_id`` of the function whose range holds the address; null where none does, or the address is null."""
     a = asked.select("program", F.col("address").alias("at"))
-    held = _as_of(a, functions.where("start < stop"), ["stop", "fn_id"])
+    held = _as_of(a, held=(functions.where("start < stop"), ["stop", "fn_id"]))
     found = held.where("at < held.stop").select("program", F.col("at").alias("address"), F.col("held.fn_id").alias("fn_id"))
     return asked.join(found, ["program", "address"], "left")
 
 
 def lines_at(asked: DataFrame, functions: DataFrame, steps: DataFrame) -> DataFrame:
     """``asked`` (program, address, ...) with fn_id, file and line; file and line are null in a function without a step at or before the address."""
-    a = asked.select("program", F.col("address").alias("at")).distinct()
-    held = _as_of(a, functions.where("start < stop"), ["stop", "fn_id"]).where("at < held.stop")
-    step = _as_of(held.select("program", "at"), steps, ["file", "line"]).withColumnRenamed("held", "step")
+    a = asked.select("program", F.col("address").alias("at"))
+    held = _as_of(a, held=(functions.where("start < stop"), ["stop", "fn_id"]), step=(steps, ["file", "line"])).where("at < held.stop")
     own = F.col("step.start") >= F.col("held.start")
-    found = held.join(step, ["program", "at"], "left").select(
+    found = held.select(
         "program", F.col("at").alias("address"), F.col("held.fn_id").alias("fn_id"), F.when(own, F.col("step.file")).alias("file"), F.when(own, F.col("step.line")).alias("line")
     )
     return asked.join(found, ["program", "address"], "left")

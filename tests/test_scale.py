@@ -51,3 +51,9 @@ def test_range_bounds_hold_no_lines(spark, tmp_path):
     want = [r.line for r in sorted(rows.collect(), key=lambda r: (r.section, r.n, r.m, r.line))]
     parts = [p.read_text().split("\n")[:-1] for p in sorted((tmp_path / "d").glob("part-*"))]
     assert [x for p in parts for x in p] == want
+
+
+def test_lines_come_from_one_pass(spark):
+    """Functions and line steps meet the addresses in one window over ranges, with one over each program's ranges; so no row is shuffled for each of them."""
+    plan = QUERIES["q_address_lines"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bWindow \[", plan)) == 2
