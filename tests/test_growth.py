@@ -38,3 +38,8 @@ def test_affected_rows_are_those_of_nested_entries(spark):
     rows = lambda df: sorted(map(str, df.select(*columns).collect()))
     nested = rows(affected_rows(v.entries()))
     assert nested and rows(v.affected()) == nested and rows(v.affected(by_module=True)) == nested
+
+
+def test_zero_has_a_literal_key(spark):
+    same, literal = spark.range(1).select(semver.key(F.lit("0")) == semver.zero(), ranges.keyed(F.expr("array(struct('SEMVER' AS type, array(struct('0' AS introduced, '' AS fixed)) AS events))"))).first()
+    assert same and literal[0].events[0].at == spark.range(1).select(semver.key(F.lit("0"))).first()[0]
