@@ -25,7 +25,9 @@ def _elements(path: Column) -> Column:
         up = F.when(back, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(rooted, done).otherwise(F.array_append(done, e))
         return F.when((e == "") | (e == "."), done).when(e == "..", up).otherwise(F.array_append(done, e))
 
-    return F.aggregate(F.split(path, "/"), none, step)
+    # most paths hold no dots that take an element back
+    plain = F.array_remove(F.array_remove(F.split(path, "/"), ""), ".")
+    return F.when(F.contains(path, F.lit("..")), F.aggregate(F.split(path, "/"), none, step)).otherwise(plain)
 
 
 def _joined(rooted: Column, elements: Column) -> Column:
@@ -41,21 +43,25 @@ def relative(base: Column, path: Column) -> Column:
     """A path as seen from a folder; null where one is rooted and the other is not, or the folder lies above by an unknown name (``..``)."""
 
     def parts(t: Column) -> Column:
-        return F.struct(*[F.startswith(t[k], F.lit("/")).alias(f"{k}_rooted") for k in "bp"], *[_elements(t[k]).alias(k) for k in "bp"])
+        return F.struct(*[_elements(t[k]).alias(k) for k in "bp"])
 
     def seen(t: Column) -> Column:
-        n = F.least(F.size(t["b"]), F.size(t["p"]))
-        same = F.transform(F.arrays_zip(F.slice(t["b"], F.lit(1), n).alias("x"), F.slice(t["p"], F.lit(1), n).alias("y")), lambda z: z["x"] == z["y"])
+        b, p = t["b"], t["p"]
+        n = F.least(F.size(b), F.size(p))
+        same = F.transform(F.arrays_zip(F.slice(b, F.lit(1), n).alias("x"), F.slice(p, F.lit(1), n).alias("y")), lambda z: z["x"] == z["y"])
         first = F.coalesce(F.nullif(F.array_position(same, False).cast("int"), F.lit(0)) - 1, n)
-        return _once(first, lambda k: from_common(t, k))
+        # below the folder, or nothing in common: no need to look at each element
+        quick = F.when(F.slice(p, F.lit(1), F.size(b)) == b, F.size(b)).when(F.get(b, F.lit(0)) != F.get(p, F.lit(0)), 0)
+        return _once(quick.otherwise(first), lambda k: from_common(b, p, k))
 
-    def from_common(t: Column, k: Column) -> Column:
-        left = F.slice(t["b"], k + 1, F.size(t["b"]))
-        out = F.concat(F.transform(left, lambda e: F.lit("..")), F.slice(t["p"], k + 1, F.size(t["p"])))
-        known = (t["b_rooted"] == t["p_rooted"]) & ~F.array_contains(left, "..")
+    def from_common(b: Column, p: Column, k: Column) -> Column:
+        out = F.concat(F.array_repeat(F.lit(".."), F.size(b) - k), F.slice(p, k + 1, F.size(p)))
+        known = ~F.array_contains(F.slice(b, k + 1, F.size(b)), "..")
         return F.when(known, F.when(F.size(out) == 0, ".").otherwise(F.array_join(out, "/")))
 
-    return _once(F.struct(text(base).alias("b"), text(path).alias("p")), lambda t: _once(parts(t), seen))
+    rooted = lambda c: F.startswith(c, F.lit("/"))
+    alike = lambda t: rooted(t["b"]) == rooted(t["p"])
+    return _once(F.struct(text(base).alias("b"), text(path).alias("p")), lambda t: F.when(alike(t), _once(parts(t), seen)))
 
 
 def module_directory(directory: Column, path: Column, module: Column) -> Column:
