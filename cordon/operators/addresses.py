@@ -16,18 +16,23 @@ from ..tables import written
 SPAN = 16
 
 
-def _last(rows: DataFrame, *columns: str) -> DataFrame:
-    """Rows (program, at, rank, columns) with each column's last non-null value at or before the row: within its range, else that of the nearest range before.
+def _last(rows: DataFrame, *columns: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (program, at, rank, columns, keep) of rank 1 with each column's last non-null value at or before the row: within its range, else that of the nearest range before.
 
-    The window over ranges has one row for each range that holds anything of a program, so no task sees a program's own rows.
+    Of rows with the same place and rank the greatest counts. The window over ranges has one row for each range that holds anything of a program, so no task sees a program's own rows.
     """
     placed = rows.withColumn("span", F.shiftright("at", SPAN))
-    within = Window.partitionBy("program", "span").orderBy("at", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("program", "span").orderBy("at", "rank", *columns).rowsBetween(Window.unboundedPreceding, 0)
     ends = placed.groupBy("program", "span").agg(*[F.max(F.when(F.col(c).isNotNull(), F.struct("at", "rank", c)))[c].alias(c) for c in columns])
     before = Window.partitionBy("program").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("program", "span", *[F.last(c, ignorenulls=True).over(before).alias(f"{c}_carried") for c in columns])
-    held = placed.select("program", "at", "rank", "span", *[F.last(c, ignorenulls=True).over(within).alias(c) for c in columns])
-    return held.where("rank = 1").join(carried, ["program", "span"]).select("program", "at", *[F.coalesce(c, f"{c}_carried").alias(c) for c in columns])
+    held = placed.select("program", "at", "rank", "span", *keep, *[F.last(c, ignorenulls=True).over(within).alias(c) for c in columns])
+    return held.where("rank = 1").join(carried, ["program", "span"]).select("program", "at", *keep, *[F.coalesce(c, f"{c}_carried").alias(c) for c in columns])
+
+
+def _known(table: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """Rows of ``_last`` for a table (program, start, columns): a struct of it under ``name``."""
+    return table.where("start IS NOT NULL").select("program", F.col("start").alias("at"), F.lit(0).alias("rank"), F.struct("start", *columns).alias(name))
 
 
 def _as_of(asked: DataFrame, **known: tuple[DataFrame, list[str]]) -> DataFrame:
@@ -37,8 +42,7 @@ def _as_of(asked: DataFrame, **known: tuple[DataFrame, list[str]]) -> DataFrame:
     """
     rows = asked.where("at IS NOT NULL").select("program", "at").distinct().withColumn("rank", F.lit(1))
     for name, (table, columns) in known.items():
-        kept = table.where("start IS NOT NULL").groupBy("program", "start").agg(F.max(F.struct("start", *columns)).alias(name))
-        rows = rows.unionByName(kept.select("program", F.col("start").alias("at"), F.lit(0).alias("rank"), name), allowMissingColumns=True)
+        rows = rows.unionByName(_known(table, name, columns), allowMissingColumns=True)
     return _last(rows, *known)
 
 
@@ -66,7 +70,10 @@ def addresses_of(asked: DataFrame, functions: DataFrame, steps: DataFrame) -> Da
 
     ``error`` is ``unknown file`` or ``unknown line`` where there is no address, else null. Steps outside all functions don't count.
     """
-    at = functions_at(steps.select("program", F.col("start").alias("address"), "file", "line"), functions).where("fn_id IS NOT NULL")
+    # steps go through the window themselves, so they need not be joined to what they met
+    own = steps.where("start IS NOT NULL").select("program", F.col("start").alias("at"), F.lit(1).alias("rank"), F.struct("file", "line").alias("step"))
+    held = _last(own.unionByName(_known(functions.where("start < stop"), "held", ["stop", "fn_id"]), allowMissingColumns=True), "held", keep=("step",))
+    at = held.where("at < held.stop AND held.fn_id IS NOT NULL").select("program", F.col("at").alias("address"), F.col("held.fn_id").alias("fn_id"), "step.file", "step.line")
     placed = written(at.groupBy("program", "file", "line").agg(F.min(F.struct("address", "fn_id")).alias("first")), "line-starts")
     files = placed.select("program", "file").distinct().withColumn("known", F.lit(True))
     out = asked.join(placed, ["program", "file", "line"], "left").join(files, ["program", "file"], "left")
