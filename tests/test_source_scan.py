@@ -26,6 +26,8 @@ def test_affected_rows_are_shuffled_by_supplier_and_by_module_only(spark, monkey
     large = [x for x in plans["matched"].splitlines() if "Exchange hashpartitioning" in x and "(path#" not in x and "(original#" not in x and "(module#" not in x]
     assert sorted(x.split("hashpartitioning(")[1][0] for x in large if "(s#" in x or "(m#" in x) == ["m", "s"]
     assert all("osv#" not in x.split("hashpartitioning(")[1].split(")")[0] for x in large)
+    # sorted while they are small, and not once more with ranges and packages for the groups or the join; the other sort is that of packages
+    assert len([x for x in plans["matched"].splitlines() if "Sort [m#" in x]) == 1 and plans["matched"].count("Sort [module#") == 1 and "ObjectHashAggregate(keys=[module#" not in plans["matched"]
 
 
 def test_line_items_meet_in_one_shuffle(spark):
