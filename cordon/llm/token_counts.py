@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from .common import slices, written
 from .token_files import library
 
-#: Ids in a block.
-BLOCK_IDS = 1 << 18
+#: Ids in a block, which is a row: Spark's reader holds 4,096 rows of a column at once in each task, and its writer looks at a page's size every 100 rows.
+BLOCK_IDS = 1 << 11
+#: Ids that are given to Spark together, or one block's if those are more.
+BATCH_IDS = 1 << 18
 
 SCANNED = "file int, block long, n long, ends long, head long, tail long, inner array<long>"
 
@@ -42,16 +44,23 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BL
 
         def out(data: np.ndarray) -> pa.RecordBatch:
             nonlocal block, taken
-            k = next((i for i, e in enumerate(ends) if e[0] >= taken + len(data)), len(ends))
-            ids = [d for _, d in ends[:k]]
-            del ends[:k]
-            taken += len(data)
-            block += 1
+            cuts = [data[k : k + block_ids] for k in range(0, len(data), block_ids)]
+            ids = []
+            for c in cuts:
+                taken += len(c)
+                k = next((i for i, e in enumerate(ends) if e[0] >= taken), len(ends))
+                ids.append([d for _, d in ends[:k]])
+                del ends[:k]
+            block += len(cuts)
             return pa.record_batch(
-                [pa.array([file], pa.int32()), pa.array([block - 1]), pa.array([data.astype("<u4").tobytes()], pa.binary()), pa.array([ids], pa.list_(pa.int64()))],
+                [
+                    pa.array([file] * len(cuts), pa.int32()), pa.array(range(block - len(cuts), block), pa.int64()),
+                    pa.array([c.astype("<u4").tobytes() for c in cuts], pa.binary()), pa.array(ids, pa.list_(pa.int64())),
+                ],
                 names=["file", "block", "data", "doc_ids"],
-            )
+            )
 
+        together = max(1, BATCH_IDS // block_ids) * block_ids
         for b in slices(batches):
             ids_of = b.column("doc_id").to_pylist()
             done = 0
@@ -61,11 +70,10 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BL
                 done += len(n)
                 total += len(ids) + len(n)
                 held = np.append(held, np.insert(ids, np.cumsum(n), end_id))
-                k = 0
-                while len(held) - k >= block_ids:
-                    yield out(held[k : k + block_ids])
-                    k += block_ids
-                held = held[k:]
+                whole = len(held) // block_ids * block_ids
+                for k in range(0, whole, together):
+                    yield out(held[k : min(k + together, whole)])
+                held = held[whole:].copy()
         if len(held):
             yield out(held)
 

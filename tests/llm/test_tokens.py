@@ -157,3 +157,21 @@ def test_scan_of_foreign_files(spark):
     df = spark.createDataFrame(rows, "file int, block long, data binary")
     got = sorted((r.file, r.ordinal, r.n_tokens) for r in token_counts.scan(df, 9, width=2).collect())
     assert got == [(0, 0, 2), (0, 1, 0), (0, 2, 2), (1, 0, 0)]
+
+
+def test_rows_of_flat_files_are_small(spark, odd_docs, odd_texts):
+    """Spark's reader holds a batch of rows of each task at once: with rows of a MB, four tasks held more than 6 GB."""
+    blocks = token_counts.write_flat(odd_docs, JSON, 50256)
+    rows = int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize"))
+    assert rows * max(len(r.data) for r in blocks.select("data").collect()) <= 64 << 20
+    # a file's blocks but the last are full, and numbered without a gap
+    per_file = {}
+    for r in sorted(blocks.select("file", "block", "data").collect(), key=lambda r: (r.file, r.block)):
+        per_file.setdefault(r.file, []).append((r.block, len(r.data)))
+    for sizes in per_file.values():
+        assert [b for b, _ in sizes] == list(range(len(sizes)))
+        assert all(n == 4 * token_counts.BLOCK_IDS for _, n in sizes[:-1])
+    assert max(map(len, per_file.values())) > 10
+    got = token_counts.label(token_counts.scan(blocks, 50256), blocks).where("doc_id = 7").first()
+    lib = Tokenizer.from_file(JSON)
+    assert got.n_tokens == len(lib.encode(odd_texts[7], add_special_tokens=False).ids)
