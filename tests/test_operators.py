@@ -155,6 +155,22 @@ def test_several_binaries_are_each_as_alone(spark):
     assert {x for x in symbols if x[0] == "stripped"} >= {("stripped", "V1", "F")} and not any(p == "fixed" for p, *_ in together)
 
 
+def test_binaries_meet_rows_of_entries(spark):
+    """Entries as rows, two of which share an id, a module and an ordinal, as if nested; findings are told apart by small rows, which are joined where they lie."""
+    imports = lambda *s: F.expr(f"array(named_struct('path', 'a.org/m/p', 'goos', array(), 'goarch', array(), 'symbols', array({', '.join(map(repr, s))})))")
+    rows = spark.sql("SELECT 'V1' AS osv, e AS entry, CAST(NULL AS TIMESTAMP) AS withdrawn, 0 AS ordinal, 'a.org/m' AS module, array(named_struct('type', 'SEMVER', 'events', array("
+                     "named_struct('introduced', '0', 'fixed', CAST(NULL AS STRING)), named_struct('introduced', CAST(NULL AS STRING), 'fixed', CASE e WHEN 1 THEN '2.0.0' ELSE '0.9.0' END)))) AS ranges FROM VALUES (1), (2) t(e)")
+    rows = rows.withColumn("imports", F.when(F.col("entry") == 1, imports("F")).otherwise(imports("G")))
+    found = scan.scan_binary(binaries(spark), rows, F.lit("2024-01-01").cast("timestamp"))
+    # version 1.0.0 is past the second entry's fix, so its symbol G is none of a stripped binary's
+    got = sorted((r.program, r.osv, r.fixed_version, r.trace[0].package or "", r.trace[0].function or "") for r in found.collect())
+    want = [(p, "V1", "v2.0.0", *x) for p in ("a", "stripped") for x in (("", ""), ("a.org/m/p", ""), ("a.org/m/p", "F"))]
+    assert got == sorted([*want, ("windows", "V1", "v2.0.0", "", ""), ("windows", "V1", "v2.0.0", "a.org/m/p", "")])
+    left, right = (spark.range(100).selectExpr("id AS program", "'p' AS path", "'o' AS osv", *more) for more in (["'k' AS package", "'s' AS symbol"], ["'1' AS version", "'2' AS fixed_version"]))
+    plan = findings.symbol_findings(left.hint("merge").join(right, ["program", "path", "osv"]), ("program",))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_warnings_of_binaries(spark):
     old = binaries(spark).withColumns({"goVersion": F.when(F.col("program") == "a", "go1.17").otherwise("go1.18"), "goos": F.when(F.col("program") == "fixed", "").otherwise("linux")})
     said = {(r.program, r.message.split(":")[1].split()[0]) for r in scan.binary_warnings(old).collect()}
